@@ -13,13 +13,13 @@ documents into one region. Regions here are cells of coarse projections instead:
    for a set that has at most e of them: it agrees elsewhere.
 4. In each cell a pivot is elected (the smallest id) and its distance to all others
    measured exactly. That links a cell of near copies in as many steps as it has
-   members. Cells whose members are by then in one component are done; the others
-   lose their pivot and join again, with more pivots at a time, until none is
-   left. The distances to the pivots already used leave out those pairs whose
-   triangle inequality forbids a link.
+   members. Cells whose members are by then in one component are done.
+5. The members of the others join again, recursively, in finer cells: each set is filed
+   under its rarest elements among them. There several pivots at a time are measured
+   against the members of other components, and leave the cell, until none is open.
 
 Every pair that is linked meets in a cell, and a pair is left unmeasured only if the
-two are known to be connected or known not to be linked, so components are exact
+two are known to be connected or their sizes rule a link out, so components are exact
 (up to collisions of 64-bit hashes within a cell).
 
 Words are the runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. With
@@ -187,31 +187,51 @@ def _linked(percent: int):
     return F.expr(f"100L * common >= {percent}L * (size_a + size_b - common)")
 
 
-def link_points(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _round(here: DataFrame, links: DataFrame, points: DataFrame, percent: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Measures the pivots of each cell against its members in other components. What is
+    left of the cells that hold more than one component, and all links so far."""
+    # minima by cell are taken before the shuffle, never a whole cell in a task
+    elected = here.groupBy("cell").agg(F.min("id").alias("a")) if pivots == 1 else _smallest(here, pivots)
+    own = here.select("cell", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
+    elected = elected.join(own, ["cell", "a"])
+    met = here.join(elected, "cell").filter((F.col("id") != F.col("a")) & (F.col("component") != F.col("component_a")))
+    near = F.expr(f"100L * least(size, size_a) >= {percent}L * greatest(size, size_a)")
+    pairs = met.filter(near).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    links = checkpoint(links.unionByName(_measured(pairs, points).filter(_linked(percent)).select("a", "b")))
+    known = components(links).withColumnRenamed("v", "id")
+    rest = here.join(elected.select("cell", F.col("a").alias("id")), ["cell", "id"], "left_anti").drop("component")
+    rest = rest.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_cells = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
+    return checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component")), links
+
+
+def _refiled(here: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Cells of a finer projection for the members of open cells: a set is filed under
+    the rarest of its elements, as many as a linked set can lack, and one more. Rare
+    means among these members, so passages that unrelated texts share make no cell."""
+    state = here.select("id", "size", "component").distinct()
+    sets = points.join(state, "id")
+    held = sets.select("id", F.explode("elements").alias("cell"))
+    often = held.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = held.join(often, "cell")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "cell"))  # a set's own elements
+    ranked = shared.withColumn("rank", rank).withColumn("shared", F.count("*").over(Window.partitionBy("id")))
+    # elements that no other set has are the rarest and need no cell
+    filed = ranked.join(state, "id").filter(F.expr(f"size - shared + rank <= size - ceil({percent} * size / 100) + 1"))
+    return checkpoint(filed.select("cell", "id", "size", "component"))
+
+
+def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8) -> DataFrame:
     """Links (a, b) that connect what is linked. members: (cell, id); points: (id, elements)."""
-    spark = members.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
+    links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     sizes = points.select("id", F.size("elements").alias("size"))
     here = checkpoint(members.join(sizes, "id").select("cell", "id", "size", F.col("id").alias("component")))
-    pivots = 1
-    while True:
-        # the smallest ids of each cell; minima by cell before the shuffle, never a whole cell in a task
-        elected = here.groupBy("cell").agg(F.min("id").alias("a")) if pivots == 1 else _smallest(here, pivots)
-        own = here.select("cell", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-        elected = elected.join(own, ["cell", "a"])
-        met = here.join(elected, "cell").filter((F.col("id") != F.col("a")) & (F.col("component") != F.col("component_a")))
-        near = F.expr(f"100L * least(size, size_a) >= {percent}L * greatest(size, size_a)")
-        pairs = met.filter(near).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
-        links = checkpoint(links.unionByName(found))
-        known = components(links)
-        rest = here.join(elected.select("cell", F.col("a").alias("id")), ["cell", "id"], "left_anti").drop("component")
-        rest = rest.join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_cells = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
-        here = checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component"))
-        if not here.limit(1).count():
-            return links
-        pivots = 8
+    here, links = _round(here, links, points, percent, 1)
+    if here.limit(1).count():
+        here = _refiled(here, points, percent)
+    while here.limit(1).count():
+        here, links = _round(here, links, points, percent, pivots)
+    return links
 
 
 def _smallest(here: DataFrame, pivots: int) -> DataFrame:
