@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +51,21 @@ class Bloom:
     def of(cls, df: DataFrame, column: str) -> Bloom:
         mask, h = (1 << cls.BITS) - 1, F.col(column)
         slices = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask)) for k in (38, 12, 25)]
-        place = df.select(F.explode(F.array(*slices)).alias("p"))
-        bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
-        # a row for each of 2^20 words at most comes to the driver
-        rows = place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        place = df.select(F.explode(F.array(*slices)).alias("p")).select(F.shiftright("p", 20).cast("int").alias("part"), F.col("p").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("bit"))
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, np.ndarray] = {}
+            for batch in batches:
+                part, bit = (c.to_numpy() for c in batch.columns)
+                for r in np.unique(part).tolist():
+                    parts.setdefault(r, np.zeros(1 << 20, bool))[bit[part == r]] = True
+            for r, held in parts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+        # 64 parts of 128 KiB come to the driver, whatever the number of members
         out = np.zeros(1 << (cls.BITS - 6), np.uint64)
-        out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+        for r in place.repartition(64, "part").mapInArrow(fill, "part int, bits binary").collect():
+            out[r["part"] << 14 : (r["part"] + 1) << 14] = np.frombuffer(bytes(r["bits"]), "<u8")
         return cls(out)
 
     def may_have(self, h: np.ndarray) -> np.ndarray:

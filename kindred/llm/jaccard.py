@@ -187,9 +187,9 @@ def _linked(percent: int):
     return F.expr(f"100L * common >= {percent}L * (size_a + size_b - common)")
 
 
-def _round(here: DataFrame, links: DataFrame, points: DataFrame, percent: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+def _round(here: DataFrame, links: DataFrame, known: DataFrame | None, points: DataFrame, percent: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Measures the pivots of each cell against its members in other components. What is
-    left of the cells that hold more than one component, and all links so far."""
+    left of the cells that hold more than one component, all links so far and their components."""
     # minima by cell are taken before the shuffle, never a whole cell in a task
     elected = here.groupBy("cell").agg(F.min("id").alias("a")) if pivots == 1 else _smallest(here, pivots)
     own = here.select("cell", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
@@ -197,12 +197,14 @@ def _round(here: DataFrame, links: DataFrame, points: DataFrame, percent: int, p
     met = here.join(elected, "cell").filter((F.col("id") != F.col("a")) & (F.col("component") != F.col("component_a")))
     near = F.expr(f"100L * least(size, size_a) >= {percent}L * greatest(size, size_a)")
     pairs = met.filter(near).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    links = checkpoint(links.unionByName(_measured(pairs, points).filter(_linked(percent)).select("a", "b")))
-    known = components(links).withColumnRenamed("v", "id")
+    found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
+    if known is None or not found.isEmpty():
+        links = links.unionByName(found)
+        known = components(links).withColumnRenamed("v", "id")
     rest = here.join(elected.select("cell", F.col("a").alias("id")), ["cell", "id"], "left_anti").drop("component")
     rest = rest.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_cells = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
-    return checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component")), links
+    return checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component")), links, known
 
 
 def _refiled(here: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -222,16 +224,17 @@ def _refiled(here: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8) -> DataFrame:
-    """Links (a, b) that connect what is linked. members: (cell, id); points: (id, elements)."""
+    """id and component of what is linked to something. members: (cell, id); points: (id,
+    elements)."""
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     sizes = points.select("id", F.size("elements").alias("size"))
     here = checkpoint(members.join(sizes, "id").select("cell", "id", "size", F.col("id").alias("component")))
-    here, links = _round(here, links, points, percent, 1)
-    if here.limit(1).count():
+    here, links, known = _round(here, links, None, points, percent, 1)
+    if not here.isEmpty():
         here = _refiled(here, points, percent)
-    while here.limit(1).count():
-        here, links = _round(here, links, points, percent, pivots)
-    return links
+    while not here.isEmpty():
+        here, links, known = _round(here, links, known, points, percent, pivots)
+    return known
 
 
 def _smallest(here: DataFrame, pivots: int) -> DataFrame:
@@ -268,8 +271,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     sets = _sets(docs, n, involved).join(members.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
     points = checkpoint(sets.groupBy("d1", "d2").agg(F.first("elements").alias("elements")).withColumn("id", F.monotonically_increasing_id()))
     names = points.select("d1", "d2", "id")
-    links = link_points(members.join(names, ["d1", "d2"]).select("cell", "id"), points.select("id", "elements"), percent)
-    known = components(links).withColumnRenamed("v", "id")
+    known = link_points(members.join(names, ["d1", "d2"]).select("cell", "id"), points.select("id", "elements"), percent)
     labelled = names.join(known, "id").select("d1", "d2", "component")
     # equal sets: a row a digest first, so that copies cost nothing in what follows
     least = filed.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
