@@ -15,26 +15,26 @@ from kindred.llm.common import checkpoint
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """v and component (the smallest vertex reachable) for the edges (a, b) of longs.
 
-    Each round, each vertex's label becomes the smallest among its neighbours' labels
-    and its label's own label, so chains shrink as powers of two. Minima are taken
-    before the shuffle, so a vertex of very many edges costs no task more than others."""
+    Each round, each vertex's label becomes the smallest among its neighbours' labels; from
+    the fourth on also its label's own label, so that chains shrink as powers of
+    two. Minima are taken before the shuffle, so a vertex of very many edges costs no task
+    more than others. Labels only fall, so an unchanged sum ends it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpoint(both.filter("a <> b").distinct())
-    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "v")
-    label = checkpoint(label)
-    for _ in range(most_rounds):
+    label = checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "v"))
+    before = None
+    for turn in range(most_rounds):
         near = both.join(label.select(F.col("v").alias("b"), "c"), "b").select(F.col("a").alias("v"), "c")
-        nearer = label.unionByName(near).groupBy("v").agg(F.min("c").alias("c"))
-        jump = nearer.select(F.col("v").alias("c"), F.col("c").alias("further"))
-        new = nearer.join(jump, "c", "left").select("v", F.least("c", F.coalesce("further", "c")).alias("c"))
-        new = checkpoint(new)
-        changed = new.join(label.withColumnRenamed("c", "old"), "v").filter("c <> old").limit(1).count()
-        label = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
-    return label.withColumnRenamed("c", "component")
+        new = label.unionByName(near).groupBy("v").agg(F.min("c").alias("c"))
+        if turn > 2:
+            jump = label.select(F.col("v").alias("c"), F.col("c").alias("further"))
+            new = new.join(jump, "c", "left").select("v", F.least("c", F.coalesce("further", "c")).alias("c"))
+        label = checkpoint(new)
+        now = label.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return label.withColumnRenamed("c", "component")
+        before = now
+    raise RuntimeError("components didn't settle")
 
 
 class Bloom:

@@ -191,17 +191,16 @@ def _round(here: DataFrame, links: DataFrame, known: DataFrame | None, points: D
     """Measures the pivots of each cell against its members in other components. What is
     left of the cells that hold more than one component, all links so far and their components."""
     # minima by cell are taken before the shuffle, never a whole cell in a task
-    elected = here.groupBy("cell").agg(F.min("id").alias("a")) if pivots == 1 else _smallest(here, pivots)
-    own = here.select("cell", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-    elected = elected.join(own, ["cell", "a"])
-    met = here.join(elected, "cell").filter((F.col("id") != F.col("a")) & (F.col("component") != F.col("component_a")))
-    near = F.expr(f"100L * least(size, size_a) >= {percent}L * greatest(size, size_a)")
-    pairs = met.filter(near).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    elected = _smallest(here, pivots)
+    met = here.join(elected, "cell")
+    against = met.select("id", "size", "component", F.explode("pivots").alias("p")).filter("p.id <> id and p.component <> component")
+    near = F.expr(f"100L * least(size, p.size) >= {percent}L * greatest(size, p.size)")
+    pairs = against.filter(near).select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
     found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
     if known is None or not found.isEmpty():
         links = links.unionByName(found)
         known = components(links).withColumnRenamed("v", "id")
-    rest = here.join(elected.select("cell", F.col("a").alias("id")), ["cell", "id"], "left_anti").drop("component")
+    rest = met.filter(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).select("cell", "id", "size")
     rest = rest.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_cells = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
     return checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component")), links, known
@@ -223,7 +222,7 @@ def _refiled(here: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return checkpoint(filed.select("cell", "id", "size", "component"))
 
 
-def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8) -> DataFrame:
+def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 16) -> DataFrame:
     """id and component of what is linked to something. members: (cell, id); points: (id,
     elements)."""
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -238,11 +237,14 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
 
 
 def _smallest(here: DataFrame, pivots: int) -> DataFrame:
-    """A few ids of each cell, one of a component, those of small components first, so
-    that these are settled soon. The limit acts before the shuffle."""
-    by_component = here.groupBy("cell", "component").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("n", "a"))
-    return by_component.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("cell", "a")
+    """A few members of each cell, one of a component, those of small components first,
+    so that these are settled soon. Minima and the limit act before the shuffle."""
+    pivot = F.struct("id", "size", "component")
+    if pivots == 1:
+        return here.groupBy("cell").agg(F.array(F.struct(F.min("id").alias("id"), F.min_by("size", "id").alias("size"), F.min_by("component", "id").alias("component"))).alias("pivots"))
+    by_component = here.groupBy("cell", "component").agg(F.min("id").alias("id"), F.min_by("size", "id").alias("size"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("n", "id"))
+    return by_component.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).groupBy("cell").agg(F.collect_list(pivot).alias("pivots"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
