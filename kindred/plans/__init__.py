@@ -1 +1 @@
-
+"""Models and chains."""

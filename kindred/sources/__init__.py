@@ -1 +1 @@
-
+"""Tables that the registered queries run on."""
