@@ -34,6 +34,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files, broadcasts and checkpoints of rounds
+    that are over. It acts when the driver has collected the objects that stood for them,
+    which a small driver of a long iteration may otherwise not do for half an hour."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, binary: bool = False) -> DataFrame:
     """The key and the text alone, as ``doc_id`` and ``text``; other columns,
     whatever their names, can't clash with what an operator adds."""

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, checkpoint, id_and_text
+from kindred.llm.common import bounded_batches, checkpoint, id_and_text, release
 from kindred.llm.graph import Bloom, components
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -203,7 +203,9 @@ def _round(here: DataFrame, links: DataFrame, known: DataFrame | None, points: D
     rest = met.filter(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).select("cell", "id", "size")
     rest = rest.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_cells = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
-    return checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component")), links, known
+    here = checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component"))
+    release(here.sparkSession)
+    return here, links, known
 
 
 def _refiled(here: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +224,7 @@ def _refiled(here: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return checkpoint(filed.select("cell", "id", "size", "component"))
 
 
-def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 16) -> DataFrame:
+def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 64) -> DataFrame:
     """id and component of what is linked to something. members: (cell, id); points: (id,
     elements)."""
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -237,14 +239,15 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
 
 
 def _smallest(here: DataFrame, pivots: int) -> DataFrame:
-    """A few members of each cell, one of a component, those of small components first,
-    so that these are settled soon. Minima and the limit act before the shuffle."""
-    pivot = F.struct("id", "size", "component")
+    """A few members of each cell, those of small components first, so that these are
+    settled soon. A cell with no more members is settled at once. Minima and the limit
+    act before the shuffle."""
     if pivots == 1:
         return here.groupBy("cell").agg(F.array(F.struct(F.min("id").alias("id"), F.min_by("size", "id").alias("size"), F.min_by("component", "id").alias("component"))).alias("pivots"))
-    by_component = here.groupBy("cell", "component").agg(F.min("id").alias("id"), F.min_by("size", "id").alias("size"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("n", "id"))
-    return by_component.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).groupBy("cell").agg(F.collect_list(pivot).alias("pivots"))
+    small = here.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("n", "component", "id"))
+    ranked = here.join(small, ["cell", "component"]).withColumn("_rank", rank).filter(F.col("_rank") <= pivots)
+    return ranked.groupBy("cell").agg(F.collect_list(F.struct("id", "size", "component")).alias("pivots"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -271,6 +274,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     members = checkpoint(likely.join(shared, "cell").distinct())
     involved = Bloom.of(members.select("d1").distinct(), "d1")
     sets = _sets(docs, n, involved).join(members.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
+    release(df.sparkSession)
     points = checkpoint(sets.groupBy("d1", "d2").agg(F.first("elements").alias("elements")).withColumn("id", F.monotonically_increasing_id()))
     names = points.select("d1", "d2", "id")
     known = link_points(members.join(names, ["d1", "d2"]).select("cell", "id"), points.select("id", "elements"), percent)
