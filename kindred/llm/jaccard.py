@@ -11,16 +11,19 @@ documents into one region. Regions here are cells of coarse projections instead:
    into h + 1 + e parts, so that two linked sets agree on more than e parts whole.
    A cell holds the sets that agree on one part. Parts with under two n-grams make no cell
    for a set that has at most e of them: it agrees elsewhere.
-4. In each cell a pivot is elected (the smallest id) and its distance to all others
-   measured exactly. That links a cell of near copies in as many steps as it has
-   members. Cells whose members are by then in one component are done.
-5. The members of the others join again, recursively, in finer cells: each set is filed
-   under its rarest elements among them. There several pivots at a time are measured
-   against the members of other components, and leave the cell, until none is open.
-
-Every pair that is linked meets in a cell, and a pair is left unmeasured only if the
-two are known to be connected or their sizes rule a link out, so components are exact
-(up to collisions of 64-bit hashes within a cell).
+4. In each cell a pivot is elected (the smallest id) and the distance of all others to it
+   is measured exactly. Members within 1/2 are its Voronoi region; those up to 1/2 plus
+   the linking distance are copied to it, as the triangle inequality lets them link
+   into it. A region joins on the differences of its sets from the pivot, by the rarest
+   elements of these: linear for copies of one text that each have edits of their own.
+5. The far members of cells that still hold more than one component join again,
+   recursively, in finer cells: each set is filed under its rarest elements among them.
+   Several pivots are elected there at a time, until no cell is open.
+
+Every pair that is linked meets in a cell, and there in a region of one of its pivots or
+among the far members; a pair is left unmeasured only if the two are known to be
+connected or the bounds above rule a link out. So components are exact (up to
+collisions of 64-bit hashes within a cell).
 
 Words are the runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. With
 fewer words than n the whole sequence is the only element. Null, empty and blank texts
@@ -187,69 +190,107 @@ def _linked(percent: int):
     return F.expr(f"100L * common >= {percent}L * (size_a + size_b - common)")
 
 
-def _round(here: DataFrame, links: DataFrame, known: DataFrame | None, points: DataFrame, percent: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Measures the pivots of each cell against its members in other components. What is
-    left of the cells that hold more than one component, all links so far and their components."""
-    # minima by cell are taken before the shuffle, never a whole cell in a task
-    elected = _smallest(here, pivots)
-    met = here.join(elected, "cell")
-    against = met.select("id", "size", "component", F.explode("pivots").alias("p")).filter("p.id <> id and p.component <> component")
-    near = F.expr(f"100L * least(size, p.size) >= {percent}L * greatest(size, p.size)")
-    pairs = against.filter(near).select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
-    found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
-    if known is None or not found.isEmpty():
-        links = links.unionByName(found)
-        known = components(links).withColumnRenamed("v", "id")
-    rest = met.filter(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).select("cell", "id", "size")
-    rest = rest.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_cells = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
-    here = checkpoint(rest.join(open_cells, "cell", "left_semi").select("cell", "id", "size", "component"))
-    release(here.sparkSession)
-    return here, links, known
+def _labelled(points: DataFrame, known: DataFrame) -> DataFrame:
+    return points.join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _open(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """cell, id of the cells that hold more than one component."""
+    labelled = _labelled(cells.select("cell", "id"), known)
+    several = labelled.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
+    return labelled.join(several, "cell", "left_semi").select("cell", "id")
+
+
+def _elected(cells: DataFrame, pivots: int) -> DataFrame:
+    """cell, pivot: the smallest ids of each cell. Minima and the limit act before the shuffle."""
+    if pivots == 1:
+        return cells.groupBy("cell").agg(F.min("id").alias("pivot"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("id"))
+    return cells.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("cell", F.col("id").alias("pivot"))
+
 
+def _round(cells: DataFrame, points: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Distances (a: pivot, b: member, sizes, common) of the members of each cell to its
+    pivots, and the cells of those that are still to be joined: members within 1/2 of a
+    pivot leave, as whatever links to them is within the pivot's region."""
+    elected = _elected(cells, pivots)
+    met = cells.join(elected, "cell").filter("id <> pivot")
+    measured = checkpoint(_measured(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), points))
+    near = measured.filter("2 * common > size_a + size_b - common").select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+    gone = met.select("cell", "id", "pivot").join(near, ["pivot", "id"]).select("cell", "id").distinct()
+    gone = gone.unionByName(elected.select("cell", F.col("pivot").alias("id"))).distinct()
+    return measured, cells.join(gone, ["cell", "id"], "left_anti")
 
-def _refiled(here: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+
+def _refiled(cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Cells of a finer projection for the members of open cells: a set is filed under
     the rarest of its elements, as many as a linked set can lack, and one more. Rare
     means among these members, so passages that unrelated texts share make no cell."""
-    state = here.select("id", "size", "component").distinct()
-    sets = points.join(state, "id")
-    held = sets.select("id", F.explode("elements").alias("cell"))
+    sets = points.join(cells.select("id").distinct(), "id").withColumn("size", F.size("elements"))
+    held = sets.select("id", "size", F.explode("elements").alias("cell"))
     often = held.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     shared = held.join(often, "cell")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "cell"))  # a set's own elements
     ranked = shared.withColumn("rank", rank).withColumn("shared", F.count("*").over(Window.partitionBy("id")))
     # elements that no other set has are the rarest and need no cell
-    filed = ranked.join(state, "id").filter(F.expr(f"size - shared + rank <= size - ceil({percent} * size / 100) + 1"))
-    return checkpoint(filed.select("cell", "id", "size", "component"))
-
-
-def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 64) -> DataFrame:
+    return ranked.filter(F.expr(f"size - shared + rank <= size - ceil({percent} * size / 100) + 1")).select("cell", "id")
+
+
+def _in_regions(measured: DataFrame, points: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link among the sets of each pivot's region, which are those within 1/2,
+    and in the triangle inequality's window beyond. A set there is its difference from the
+    pivot; two sets differ in what their differences differ in, so of two linked ones the
+    smaller difference has one of its h / 2 + 1 rarest elements among the h + 1 rarest of
+    the larger. Copies of one text, with edits of their own, share no such element."""
+    window = 50 + 100 - percent
+    region = measured.filter(F.expr(f"100L * common >= {100 - window}L * (size_a + size_b - common)"))
+    # a region of one component has nothing to find
+    of = _labelled(region.select(F.col("b").alias("id"), "a", "size_a", F.col("size_b").alias("size"), "common"), known)
+    several = of.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("a")
+    of = of.join(several, "a", "left_semi")
+    of = of.withColumn("apart", F.col("size") + F.col("size_a") - 2 * F.col("common")).withColumn("h", F.expr(f"({100 - percent}L * (size + (size * 100L) div {percent})) div {100 + percent}"))
+    state = ["a", "id", "size", "component", "apart", "h"]
+    pivot = points.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
+    both = of.select(*state).join(points, "id").join(pivot, "a")
+    held = both.select(*state, F.explode(F.array_union(F.array_except("elements", "of_a"), F.array_except("of_a", "elements"))).alias("e"))
+    often = held.groupBy("a", "e").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = held.join(often, ["a", "e"])
+    own = Window.partitionBy("a", "id")
+    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("n", "e"))).withColumn("rank", F.col("apart") - F.count("*").over(own) + F.col("rank"))
+    large = ranked.filter("rank <= h + 1").select("a", "e", *state[1:])
+    # no shared element is needed if the two differences together are at most h
+    alone = of.filter("apart <= h").select(F.col("a"), F.col("apart").cast("bigint").alias("e"), *state[1:])
+    small = ranked.filter("rank <= h div 2 + 1").select("a", "e", *state[1:])
+    reach = of.filter("apart <= h").select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("h") - F.col("apart")).cast("bigint"))).alias("e"), *state[1:])
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.alias("x").join(y.alias("y"), ["a", "e"]).filter("x.id <> y.id and x.component <> y.component and x.apart <= y.apart and y.apart - x.apart <= greatest(x.h, y.h)")
+        return both.filter(F.expr(f"100L * least(x.size, y.size) >= {percent}L * greatest(x.size, y.size)")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    return met(small, large).unionByName(met(alone, reach)).distinct()
+
+
+def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8) -> DataFrame:
     """id and component of what is linked to something. members: (cell, id); points: (id,
     elements)."""
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
-    sizes = points.select("id", F.size("elements").alias("size"))
-    here = checkpoint(members.join(sizes, "id").select("cell", "id", "size", F.col("id").alias("component")))
-    here, links, known = _round(here, links, None, points, percent, 1)
-    if not here.isEmpty():
-        here = _refiled(here, points, percent)
-    while not here.isEmpty():
-        here, links, known = _round(here, links, known, points, percent, pivots)
+    cells, turn, known = members.select("cell", "id"), 0, None
+    while turn == 0 or not cells.isEmpty():
+        measured, rest = _round(cells, points, pivots if turn else 1)
+        links = checkpoint(links.unionByName(measured.filter(_linked(percent)).select("a", "b")))
+        known = components(links).withColumnRenamed("v", "id")
+        pairs = checkpoint(_in_regions(measured, points, known, percent))
+        if not pairs.isEmpty():
+            links = checkpoint(links.unionByName(_measured(pairs, points).filter(_linked(percent)).select("a", "b")))
+            known = components(links).withColumnRenamed("v", "id")
+        cells = checkpoint(_open(rest, known))
+        if turn == 0 and not cells.isEmpty():
+            cells = checkpoint(_open(_refiled(cells, points, percent), known))
+        release(cells.sparkSession)
+        turn += 1
     return known
 
 
-def _smallest(here: DataFrame, pivots: int) -> DataFrame:
-    """A few members of each cell, those of small components first, so that these are
-    settled soon. A cell with no more members is settled at once. Minima and the limit
-    act before the shuffle."""
-    if pivots == 1:
-        return here.groupBy("cell").agg(F.array(F.struct(F.min("id").alias("id"), F.min_by("size", "id").alias("size"), F.min_by("component", "id").alias("component"))).alias("pivots"))
-    small = here.groupBy("cell", "component").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("n", "component", "id"))
-    ranked = here.join(small, ["cell", "component"]).withColumn("_rank", rank).filter(F.col("_rank") <= pivots)
-    return ranked.groupBy("cell").agg(F.collect_list(F.struct("id", "size", "component")).alias("pivots"))
-
-
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     bounded_batches(df.sparkSession)
@@ -258,6 +299,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     cells = filed.select("d1", "d2", F.explode("cells").alias("cell"))
     # min and max by cell, before the shuffle: a cell with one set is of no use
     shared = checkpoint(cells.groupBy("cell").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("cell"))
+    release(df.sparkSession)
     wanted = Bloom.of(shared, "cell")
     sent = df.sparkSession.sparkContext.broadcast(wanted)
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from kindred.llm.common import bounded_batches, checkpoint, id_and_text
+from kindred.llm.common import bounded_batches, checkpoint, id_and_text, release, stored
 from kindred.llm.graph import Bloom
 from kindred.llm.jaccard import _B, _INVERSE, _powers, mix
 
@@ -306,9 +306,12 @@ def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     if length < ANCHOR:
         raise ValueError(f"length must be {ANCHOR} at least")
     repeated = _hashes(docs, length).groupBy("anchor").count().filter("count > 1").select("anchor")
-    segments = checkpoint(_segments(docs, Bloom.of(repeated, "anchor"), length))
+    wanted = Bloom.of(repeated, "anchor")
+    release(spark)
+    segments = stored(_segments(docs, wanted, length))
     first = segments.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "k", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    first = checkpoint(first)
+    first = stored(first)
+    release(spark)
     copies = segments.join(first.filter("copies > 1").select("anchor", "content", "first"), ["anchor", "content"])
     copies = copies.filter(~F.struct("doc_id", "k", "start").eqNullSafe(F.col("first")))
     marked = copies.select("doc_id", "k", F.col("start").alias("from"), (F.col("start") + F.col("n") - 1 + length).alias("to"))
@@ -316,13 +319,14 @@ def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     kinds = first.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     undecided = first.join(kinds, "anchor").select("anchor", "kinds", "first.*", "n")
     of_docs = undecided.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "start", "n", "kinds")).alias("parts"))
-    of_docs = checkpoint(of_docs)
+    of_docs = stored(of_docs)
     likely = docs.filter(_has(Bloom.of(of_docs, "k"), spark)("k"))
     same = [F.col("d.k") == F.col("p.k"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))]
     once = likely.alias("d").join(of_docs.alias("p"), same[0] & same[1]).select("d.doc_id", "d.k", "text", "parts")
     cut = once.select("doc_id", "k", "text", F.explode("parts").alias("p"))
     cut = cut.select("doc_id", "k", "p.anchor", "p.start", "p.kinds", F.substring("text", F.col("p.start").cast("int") + 1, (F.col("p.n") - 1 + length).cast("int")).alias("bytes"))
-    cut = checkpoint(cut.dropDuplicates(["doc_id", "k", "start"]))
+    cut = stored(cut.dropDuplicates(["doc_id", "k", "start"]))
+    release(spark)
     marked = marked.unionByName(_marked_by_index(cut.filter(F.col("kinds") <= hot), length))
     marked = marked.unionByName(_marked_by_hash(cut.filter(F.col("kinds") > hot), length))
     return marked.groupBy("doc_id", "k").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
@@ -342,7 +346,8 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def _with_spans(df: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (with k) and their spans, null if none. Only documents that may have spans
     are shuffled."""
-    found = checkpoint(found)
+    found = stored(found)
+    release(df.sparkSession)
     may = _has(Bloom.of(found, "k"), df.sparkSession)
     flagged = docs.withColumn("_may", may("k"))
     f = found.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "spans")
