@@ -224,7 +224,7 @@ def compose(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
         cue, make = (personal if truth else other)[kind]
         lead = " ".join(word() for _ in range(r.randint(0, 6))) + " " + r.choice(cue)
         text = f"{lead}{make()} {word()}{r.choice(['.', ',', ''])} {word()}"
-        out += [(k, text, a, b, truth and a >= len(lead)) for k, a, b in candidates(text)]
+        out += [(k, text, a, b, truth and k == kind and a >= len(lead)) for k, a, b in candidates(text)]
     return out[:n]
 
 
