@@ -178,12 +178,18 @@ def _sets(docs: DataFrame, n: int, wanted: Bloom) -> DataFrame:
     return docs.mapInArrow(read, "d1 bigint, d2 bigint, elements array<bigint>")
 
 
-def _measured(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """a, b, size_a, size_b and common of pairs (a, b) of points."""
+def _measured(pairs: DataFrame, points: DataFrame, window: int | None = None) -> DataFrame:
+    """a, b, size_a, size_b, common and lacking of pairs (a, b) of points. lacking: the elements
+    that one of the two lacks, if at least ``window`` per cent of the union are common;
+    else, and with no window, null."""
     a = points.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
     b = points.select(F.col("id").alias("b"), F.col("elements").alias("of_b"))
     both = pairs.join(a, "a").join(b, "b")
-    return both.select("a", "b", F.size("of_a").alias("size_a"), F.size("of_b").alias("size_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    both = both.withColumn("only_a", F.array_except("of_a", "of_b"))
+    both = both.select("a", "b", F.size("of_a").alias("size_a"), F.size("of_b").alias("size_b"), (F.size("of_a") - F.size("only_a")).alias("common"), "only_a", "of_a", "of_b")
+    # elements of a set are distinct, so the two differences are disjoint
+    apart = F.when(_linked(window), F.concat("only_a", F.array_except("of_b", "of_a"))) if window is not None else F.lit(None).cast("array<bigint>")
+    return both.select("a", "b", "size_a", "size_b", "common", apart.alias("lacking"))
 
 
 def _linked(percent: int):
@@ -196,7 +202,7 @@ def _labelled(points: DataFrame, known: DataFrame) -> DataFrame:
 
 def _open(cells: DataFrame, known: DataFrame) -> DataFrame:
     """cell, id of the cells that hold more than one component."""
-    labelled = _labelled(cells.select("cell", "id"), known)
+    labelled = checkpoint(_labelled(cells.select("cell", "id"), known))
     several = labelled.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
     return labelled.join(several, "cell", "left_semi").select("cell", "id")
 
@@ -209,13 +215,13 @@ def _elected(cells: DataFrame, pivots: int) -> DataFrame:
     return cells.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("cell", F.col("id").alias("pivot"))
 
 
-def _round(cells: DataFrame, points: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Distances (a: pivot, b: member, sizes, common) of the members of each cell to its
+def _round(cells: DataFrame, points: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distances (a: pivot, b: member, sizes, common, lacking) of the members of each cell to its
     pivots, and the cells of those that are still to be joined: members within 1/2 of a
     pivot leave, as whatever links to them is within the pivot's region."""
     elected = _elected(cells, pivots)
     met = cells.join(elected, "cell").filter("id <> pivot")
-    measured = checkpoint(_measured(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), points))
+    measured = checkpoint(_measured(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), points, percent - 50))
     near = measured.filter("2 * common > size_a + size_b - common").select(F.col("a").alias("pivot"), F.col("b").alias("id"))
     gone = met.select("cell", "id", "pivot").join(near, ["pivot", "id"]).select("cell", "id").distinct()
     gone = gone.unionByName(elected.select("cell", F.col("pivot").alias("id"))).distinct()
@@ -236,31 +242,29 @@ def _refiled(cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return ranked.filter(F.expr(f"size - shared + rank <= size - ceil({percent} * size / 100) + 1")).select("cell", "id")
 
 
-def _in_regions(measured: DataFrame, points: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _in_regions(measured: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs that may link among the sets of each pivot's region, which are those within 1/2,
     and in the triangle inequality's window beyond. A set there is its difference from the
     pivot; two sets differ in what their differences differ in, so of two linked ones the
     smaller difference has one of its h / 2 + 1 rarest elements among the h + 1 rarest of
     the larger. Copies of one text, with edits of their own, share no such element."""
-    window = 50 + 100 - percent
-    region = measured.filter(F.expr(f"100L * common >= {100 - window}L * (size_a + size_b - common)"))
+    region = measured.filter("lacking is not null")
     # a region of one component has nothing to find
-    of = _labelled(region.select(F.col("b").alias("id"), "a", "size_a", F.col("size_b").alias("size"), "common"), known)
-    several = of.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("a")
-    of = of.join(several, "a", "left_semi")
-    of = of.withColumn("apart", F.col("size") + F.col("size_a") - 2 * F.col("common")).withColumn("h", F.expr(f"({100 - percent}L * (size + (size * 100L) div {percent})) div {100 + percent}"))
+    named = _labelled(region.select(F.col("b").alias("id"), "a"), known)
+    several = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("a")
+    of = _labelled(region.join(several, "a", "left_semi").select(F.col("b").alias("id"), "a", F.col("size_b").alias("size"), "lacking"), known)
+    of = of.withColumn("apart", F.size("lacking")).withColumn("h", F.expr(f"({100 - percent}L * (size + (size * 100L) div {percent})) div {100 + percent}"))
     state = ["a", "id", "size", "component", "apart", "h"]
-    pivot = points.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
-    both = of.select(*state).join(points, "id").join(pivot, "a")
-    held = both.select(*state, F.explode(F.array_union(F.array_except("elements", "of_a"), F.array_except("of_a", "elements"))).alias("e"))
+    of = checkpoint(of.select(*state, "lacking"))
+    held = of.select(*state, F.explode("lacking").alias("e"))
     often = held.groupBy("a", "e").agg(F.count("*").alias("n")).filter("n > 1")
     shared = held.join(often, ["a", "e"])
     own = Window.partitionBy("a", "id")
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("n", "e"))).withColumn("rank", F.col("apart") - F.count("*").over(own) + F.col("rank"))
-    large = ranked.filter("rank <= h + 1").select("a", "e", *state[1:])
+    large = checkpoint(ranked.filter("rank <= h + 1").select("a", "e", *state[1:], "rank"))
     # no shared element is needed if the two differences together are at most h
     alone = of.filter("apart <= h").select(F.col("a"), F.col("apart").cast("bigint").alias("e"), *state[1:])
-    small = ranked.filter("rank <= h div 2 + 1").select("a", "e", *state[1:])
+    small, large = large.filter("rank <= h div 2 + 1").drop("rank"), large.drop("rank")
     reach = of.filter("apart <= h").select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("h") - F.col("apart")).cast("bigint"))).alias("e"), *state[1:])
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -276,12 +280,16 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     cells, turn, known = members.select("cell", "id"), 0, None
     while turn == 0 or not cells.isEmpty():
-        measured, rest = _round(cells, points, pivots if turn else 1)
-        links = checkpoint(links.unionByName(measured.filter(_linked(percent)).select("a", "b")))
-        known = components(links).withColumnRenamed("v", "id")
-        pairs = checkpoint(_in_regions(measured, points, known, percent))
-        if not pairs.isEmpty():
-            links = checkpoint(links.unionByName(_measured(pairs, points).filter(_linked(percent)).select("a", "b")))
+        measured, rest = _round(cells, points, pivots if turn else 1, percent)
+        found = measured.filter(_linked(percent)).select("a", "b")
+        if known is None or not found.isEmpty():
+            links = checkpoint(links.unionByName(found))
+            known = components(links).withColumnRenamed("v", "id")
+        pairs = checkpoint(_in_regions(measured, known, percent))
+        found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
+        release(cells.sparkSession)
+        if not found.isEmpty():
+            links = checkpoint(links.unionByName(found))
             known = components(links).withColumnRenamed("v", "id")
         cells = checkpoint(_open(rest, known))
         if turn == 0 and not cells.isEmpty():
