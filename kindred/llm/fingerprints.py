@@ -177,7 +177,7 @@ def edited(points: np.ndarray, following: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 20_000, most_ranges: int = 10_000) -> DataFrame:
+def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2_000, most_ranges: int = 10_000) -> DataFrame:
     """Fingerprints of each text, of its edited text and their likeness; see SCHEMA."""
     spark = df.sparkSession
     bounded_batches(spark)
