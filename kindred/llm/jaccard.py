@@ -50,6 +50,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
+#: Words of a difference's sketch; a power of two.
+SKETCH = 4
 
 
 def _powers(base: np.uint64, n: int, memo: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
@@ -242,33 +244,53 @@ def _refiled(cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return ranked.filter(F.expr(f"size - shared + rank <= size - ceil({percent} * size / 100) + 1")).select("cell", "id")
 
 
+def _parities(elements: str, word: int):
+    """Word ``word`` of the sketch of an array of distinct, well-mixed hashes."""
+    return F.expr(f"aggregate(filter({elements}, e -> (shiftright(e, 6) & {SKETCH - 1}) = {word}), 0L, (bits, e) -> bits ^ shiftleft(1L, cast(e & 63 as int)))")
+
+
 def _in_regions(measured: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs that may link among the sets of each pivot's region, which are those within 1/2,
     and in the triangle inequality's window beyond. A set there is its difference from the
     pivot; two sets differ in what their differences differ in, so of two linked ones the
     smaller difference has one of its h / 2 + 1 rarest elements among the h + 1 rarest of
-    the larger. Copies of one text, with edits of their own, share no such element."""
+    the larger. Copies of one text, with edits of their own, share no such element. Those
+    that share one by chance are told apart by sketches: the parities of a difference's
+    elements, dealt into SKETCH words of 64 bits. Two sketches differ in at most as many
+    bits as the two sets differ in elements, so a pair with more than a link allows goes."""
     region = measured.filter("lacking is not null")
     # a region of one component has nothing to find
     named = _labelled(region.select(F.col("b").alias("id"), "a"), known)
     several = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("a")
     of = _labelled(region.join(several, "a", "left_semi").select(F.col("b").alias("id"), "a", F.col("size_b").alias("size"), "lacking"), known)
     of = of.withColumn("apart", F.size("lacking")).withColumn("h", F.expr(f"({100 - percent}L * (size + (size * 100L) div {percent})) div {100 + percent}"))
-    state = ["a", "id", "size", "component", "apart", "h"]
+    words = [f"s{k}" for k in range(SKETCH)]
+    state = ["a", "id", "size", "component", "apart", "h", *words]
+    of = of.select("*", *[_parities("lacking", k).alias(word) for k, word in enumerate(words)])
     of = checkpoint(of.select(*state, "lacking"))
-    held = of.select(*state, F.explode("lacking").alias("e"))
+    # ranks are found on keys alone; what describes a set comes after
+    held = of.select("a", "id", "apart", F.explode("lacking").alias("e"))
     often = held.groupBy("a", "e").agg(F.count("*").alias("n")).filter("n > 1")
     shared = held.join(often, ["a", "e"])
     own = Window.partitionBy("a", "id")
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("n", "e"))).withColumn("rank", F.col("apart") - F.count("*").over(own) + F.col("rank"))
+    ranked = ranked.select("a", "id", "e", "rank").join(of.select(*state), ["a", "id"])
     large = checkpoint(ranked.filter("rank <= h + 1").select("a", "e", *state[1:], "rank"))
     # no shared element is needed if the two differences together are at most h
-    alone = of.filter("apart <= h").select(F.col("a"), F.col("apart").cast("bigint").alias("e"), *state[1:])
-    small, large = large.filter("rank <= h div 2 + 1").drop("rank"), large.drop("rank")
-    reach = of.filter("apart <= h").select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("h") - F.col("apart")).cast("bigint"))).alias("e"), *state[1:])
+    first = F.lit(1).alias("rank")
+    alone = of.filter("apart <= h").select(F.col("a"), F.col("apart").cast("bigint").alias("e"), *state[1:], first)
+    small = large.filter("rank <= h div 2 + 1")
+    reach = of.filter("apart <= h").select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("h") - F.col("apart")).cast("bigint"))).alias("e"), *state[1:], first)
+
+    def allowed(differing: str):
+        return F.expr(f"{100 + percent}L * ({differing}) <= {100 - percent}L * (x.size + y.size)")
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        both = x.alias("x").join(y.alias("y"), ["a", "e"]).filter("x.id <> y.id and x.component <> y.component and x.apart <= y.apart and y.apart - x.apart <= greatest(x.h, y.h)")
+        # a pair is looked at from its smaller difference, in equal ones from its smaller id
+        both = x.alias("x").join(y.alias("y"), ["a", "e"]).filter("x.component <> y.component and (x.apart < y.apart or x.apart = y.apart and x.id < y.id)")
+        # the first element that both have leaves room behind it for all they must share
+        both = both.filter(allowed("2 * (x.rank - 1) + y.apart - x.apart")).filter(allowed("2 * (y.rank - 1) + x.apart - y.apart"))
+        both = both.filter(allowed("y.apart - x.apart")).filter(allowed(" + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words)))
         return both.filter(F.expr(f"100L * least(x.size, y.size) >= {percent}L * greatest(x.size, y.size)")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
     return met(small, large).unionByName(met(alone, reach)).distinct()
