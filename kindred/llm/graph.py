@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import checkpoint
+from kindred.llm.common import checkpoint, release
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -34,6 +34,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             return label.withColumnRenamed("c", "component")
         before = now
+        if turn % 2:
+            release(edges.sparkSession)  # each round's tables are small, but have a file a partition
     raise RuntimeError("components didn't settle")
 
 
