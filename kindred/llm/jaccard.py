@@ -296,23 +296,35 @@ def _in_regions(measured: DataFrame, known: DataFrame, percent: int) -> DataFram
     return met(small, large).unionByName(met(alone, reach)).distinct()
 
 
+def _grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
+    """id, component once the links (a, b) are known, too. Only links between different
+    components count, and they are joined as links between these."""
+    if known is None:
+        return components(found).withColumnRenamed("v", "id")
+    for end in ("a", "b"):
+        label = known.select(F.col("id").alias(end), "component")
+        found = found.join(label, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    merged = components(found.filter("a <> b"))
+    of = merged.select(F.col("v").alias("component"), F.col("component").alias("further"))
+    old = known.join(of, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
+    new = merged.withColumnRenamed("v", "id").join(known.select("id"), "id", "left_anti").select("id", "component")
+    return checkpoint(old.unionByName(new))
+
+
 def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8) -> DataFrame:
     """id and component of what is linked to something. members: (cell, id); points: (id,
     elements)."""
-    links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     cells, turn, known = members.select("cell", "id"), 0, None
     while turn == 0 or not cells.isEmpty():
         measured, rest = _round(cells, points, pivots if turn else 1, percent)
         found = measured.filter(_linked(percent)).select("a", "b")
         if known is None or not found.isEmpty():
-            links = checkpoint(links.unionByName(found))
-            known = components(links).withColumnRenamed("v", "id")
+            known = _grown(known, found)
         pairs = checkpoint(_in_regions(measured, known, percent))
         found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
         release(cells.sparkSession)
         if not found.isEmpty():
-            links = checkpoint(links.unionByName(found))
-            known = components(links).withColumnRenamed("v", "id")
+            known = _grown(known, found)
         cells = checkpoint(_open(rest, known))
         if turn == 0 and not cells.isEmpty():
             cells = checkpoint(_open(_refiled(cells, points, percent), known))
