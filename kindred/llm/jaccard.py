@@ -16,14 +16,14 @@ documents into one region. Regions here are cells of coarse projections instead:
    the linking distance are copied to it, as the triangle inequality lets them link
    into it. A region joins on the differences of its sets from the pivot, by the rarest
    elements of these: linear for copies of one text that each have edits of their own.
-5. The far members of cells that still hold more than one component join again,
-   recursively, in finer cells: each set is filed under its rarest elements among them.
+5. The far members of cells that still hold more than one set (or component, where these
+   alone are wanted) join again, recursively, in finer cells: each set is filed under its rarest elements among them.
    Several pivots are elected there at a time, until no cell is open.
 
 Every pair that is linked meets in a cell, and there in a region of one of its pivots or
-among the far members; a pair is left unmeasured only if the two are known to be
-connected or the bounds above rule a link out. So components are exact (up to
-collisions of 64-bit hashes within a cell).
+among the far members; a pair is left unmeasured only if the bounds above rule a link
+out. So links and components are exact (up to collisions of 64-bit hashes within a cell).
+Where components alone are wanted, pairs that are known to be connected go unmeasured, too.
 
 Words are the runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. With
 fewer words than n the whole sequence is the only element. Null, empty and blank texts
@@ -34,6 +34,7 @@ the smallest non-null key or else null.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -198,11 +199,14 @@ def _linked(percent: int):
     return F.expr(f"100L * common >= {percent}L * (size_a + size_b - common)")
 
 
-def _labelled(points: DataFrame, known: DataFrame) -> DataFrame:
+def _labelled(points: DataFrame, known: DataFrame | None) -> DataFrame:
+    """With no known components each point is its own, so that nothing is passed over."""
+    if known is None:
+        return points.withColumn("component", F.col("id"))
     return points.join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _open(cells: DataFrame, known: DataFrame) -> DataFrame:
+def _open(cells: DataFrame, known: DataFrame | None) -> DataFrame:
     """cell, id of the cells that hold more than one component."""
     labelled = checkpoint(_labelled(cells.select("cell", "id"), known))
     several = labelled.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
@@ -249,7 +253,7 @@ def _parities(elements: str, word: int):
     return F.expr(f"aggregate(filter({elements}, e -> (shiftright(e, 6) & {SKETCH - 1}) = {word}), 0L, (bits, e) -> bits ^ shiftleft(1L, cast(e & 63 as int)))")
 
 
-def _in_regions(measured: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int) -> DataFrame:
     """Pairs that may link among the sets of each pivot's region, which are those within 1/2,
     and in the triangle inequality's window beyond. A set there is its difference from the
     pivot; two sets differ in what their differences differ in, so of two linked ones the
@@ -259,7 +263,7 @@ def _in_regions(measured: DataFrame, known: DataFrame, percent: int) -> DataFram
     elements, dealt into SKETCH words of 64 bits. Two sketches differ in at most as many
     bits as the two sets differ in elements, so a pair with more than a link allows goes."""
     region = measured.filter("lacking is not null")
-    # a region of one component has nothing to find
+    # a region of one component (with none known: of one set) has nothing to find
     named = _labelled(region.select(F.col("b").alias("id"), "a"), known)
     several = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("a")
     of = _labelled(region.join(several, "a", "left_semi").select(F.col("b").alias("id"), "a", F.col("size_b").alias("size"), "lacking"), known)
@@ -311,39 +315,47 @@ def _grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
     return checkpoint(old.unionByName(new))
 
 
-def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8) -> DataFrame:
-    """id and component of what is linked to something. members: (cell, id); points: (id,
-    elements)."""
-    cells, turn, known = members.select("cell", "id"), 0, None
+def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """id and component of what is linked to something, and with ``every`` all links (a, b),
+    a < b, once each. members: (cell, id); points: (id, elements). Without ``every``, pairs that
+    are known to be connected aren't measured."""
+    cells, turn, known, links = members.select("cell", "id"), 0, None, []
     while turn == 0 or not cells.isEmpty():
         measured, rest = _round(cells, points, pivots if turn else 1, percent)
         found = measured.filter(_linked(percent)).select("a", "b")
+        if every:
+            # of its own, so that the measured differences needn't be kept with it
+            found = checkpoint(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            links.append(found)
         if known is None or not found.isEmpty():
             known = _grown(known, found)
-        pairs = checkpoint(_in_regions(measured, known, percent))
+        pairs = checkpoint(_in_regions(measured, None if every else known, percent))
         found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
+        links.append(found)
         release(cells.sparkSession)
         if not found.isEmpty():
             known = _grown(known, found)
-        cells = checkpoint(_open(rest, known))
+        cells = checkpoint(_open(rest, None if every else known))
         if turn == 0 and not cells.isEmpty():
-            cells = checkpoint(_open(_refiled(cells, points, percent), known))
+            cells = checkpoint(_open(_refiled(cells, points, percent), None if every else known))
+        if not every:
+            links.clear()
         release(cells.sparkSession)
         turn += 1
-    return known
+    return known, checkpoint(functools.reduce(DataFrame.unionByName, links).distinct()) if every else None
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
-    bounded_batches(df.sparkSession)
-    docs = id_and_text(df, id_col, text_col, binary=True)
+def _linked_sets(docs: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The documents' points; id, d1, d2 and component of the sets that share a cell (null if they
+    link with none); and with ``every`` the links (a, b) between ids."""
+    bounded_batches(docs.sparkSession)
     filed = checkpoint(_points(docs, n, percent))
     cells = filed.select("d1", "d2", F.explode("cells").alias("cell"))
     # min and max by cell, before the shuffle: a cell with one set is of no use
     shared = checkpoint(cells.groupBy("cell").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("cell"))
-    release(df.sparkSession)
+    release(docs.sparkSession)
     wanted = Bloom.of(shared, "cell")
-    sent = df.sparkSession.sparkContext.broadcast(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,25 +370,57 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     members = checkpoint(likely.join(shared, "cell").distinct())
     involved = Bloom.of(members.select("d1").distinct(), "d1")
     sets = _sets(docs, n, involved).join(members.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
-    release(df.sparkSession)
+    release(docs.sparkSession)
     points = checkpoint(sets.groupBy("d1", "d2").agg(F.first("elements").alias("elements")).withColumn("id", F.monotonically_increasing_id()))
     names = points.select("d1", "d2", "id")
-    known = link_points(members.join(names, ["d1", "d2"]).select("cell", "id"), points.select("id", "elements"), percent)
-    labelled = names.join(known, "id").select("d1", "d2", "component")
+    known, links = link_points(members.join(names, ["d1", "d2"]).select("cell", "id"), points.select("id", "elements"), percent, every=every)
+    return filed, names.join(known, "id", "left"), links
+
+
+def _told(filed: DataFrame, named: DataFrame, links: DataFrame | None) -> DataFrame:
+    """d1, d2 and component_id of each set that isn't empty, and with links n_links."""
     # equal sets: a row a digest first, so that copies cost nothing in what follows
-    least = filed.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
-    of_sets = least.join(labelled, ["d1", "d2"], "left")
+    least = filed.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    of_sets = least.join(named, ["d1", "d2"], "left")
+    if links is not None:
+        of_sets = checkpoint(of_sets)
+        copies = of_sets.filter("id is not null").select("id", "copies")
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = ends.join(copies.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
+        of_sets = of_sets.join(others, "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0).cast("bigint")))
     of_parts = of_sets.filter("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
-    told = checkpoint(of_sets.join(of_parts, "component", "left").select("d1", "d2", F.coalesce("smallest", "least").alias("component_id")))
+    more = ["n_links"] if links is not None else []
+    return checkpoint(of_sets.join(of_parts, "component", "left").select("d1", "d2", *more, F.coalesce("smallest", "least").alias("component_id")))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (to other rows, equal sets among them)
+    of each row."""
+    filed, named, links = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=True)
+    told = _told(filed, named, links)
+    rows = filed.select("doc_id", "size", "d1", "d2")
+    out = rows.filter("size > 0").join(told, ["d1", "d2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "n_links")
+    return out.unionByName(rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")))
+
+
+def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """All links, as pairs (a, b), a < b, of representatives, and membership: doc_id and
+    representative of each row. A representative stands for rows of one set, which are linked
+    with one another; it is a number of this call and null for empty sets."""
+    filed, named, links = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=True)
+    sets = filed.filter("size > 0").select("d1", "d2").distinct().join(named, ["d1", "d2"], "left")
+    # sets that share no cell have no links; their numbers are below those of the others
+    sets = checkpoint(sets.select("d1", "d2", F.coalesce("id", -1 - F.monotonically_increasing_id()).alias("representative")))
     rows = filed.select("doc_id", "size", "d1", "d2")
-    out = rows.filter("size > 0").join(told, ["d1", "d2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    membership = rows.filter("size > 0").join(sets, ["d1", "d2"]).select("doc_id", "representative")
+    return links, membership.unionByName(rows.filter("size = 0").select("doc_id", F.lit(None).cast("bigint").alias("representative")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``df``, all columns, of which one of each group stays: the one with the
     group's smallest key; of rows that repeat that key, one whole row."""
-    groups = join(df, id_col, text_col, n, percent)
-    kept = groups.filter("n_shingles = 0 or doc_id <=> component_id").select("doc_id").distinct()
+    filed, named, _ = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=False)
+    groups = filed.join(_told(filed, named, None), ["d1", "d2"], "left")
+    kept = groups.filter("size = 0 or doc_id <=> component_id").select("doc_id").distinct()
     key = F.col(id_col).cast("long")
     return df.join(kept, key.eqNullSafe(F.col("doc_id")) if id_col != "doc_id" else ["doc_id"], "left_semi")

@@ -267,6 +267,29 @@ def test_jaccard_join(docs, n, percent):
     assert jaccard.join(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_jaccard_links(spark, docs, n, percent):
+    r = random.Random(8)
+    base, rows = [f"w{k}" for k in range(200)], texts(docs.filter("doc_id is not null and doc_id <> 405"))
+    for k in range(40):
+        own = list(base)
+        for at in r.sample(range(200), k % 5):
+            own[at] = f"edit{k}"
+        rows.append((1000 + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()} for i, w in ((i, (t or "").lower().split(None)) for i, t in rows)}
+    want = {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and 100 * len(a & b) >= percent * len(a | b)}
+    assert len(want) > 100
+    degrees = {i: sum(i in p for p in want) for i in sets}
+    got = jaccard.join(df, n=n, percent=percent).collect()
+    assert {x.doc_id: x.n_links for x in got} == degrees and len(got) == len(rows)
+    pairs, membership = (x.collect() for x in jaccard.linked_pairs(df, n=n, percent=percent))
+    of = {x.doc_id: x.representative for x in membership}
+    met = {(x.a, x.b) for x in pairs}
+    assert len(met) == len(pairs) and all(a < b for a, b in met) and set(of) == set(sets)
+    assert want == {(i, j) for i in of for j in of if i < j and of[i] is not None and of[j] is not None and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in met)}
+
+
 def test_pipeline_keeps_columns(spark, tmp_path):
     import corpus_pipeline
 
