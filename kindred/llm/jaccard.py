@@ -146,7 +146,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _points(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, the set's digest (d1, d2) and its cells."""
+    """doc_id, row (a hash of the text as it stands), size, the set's digest (d1, d2) and its cells."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = Cells(percent)
@@ -156,9 +156,9 @@ def _points(docs: DataFrame, n: int, percent: int) -> DataFrame:
             own = [cells.of(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, own)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64()), column], ["doc_id", "size", "d1", "d2", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64()), column], ["doc_id", "row", "size", "d1", "d2", "cells"])
 
-    return docs.mapInArrow(file, "doc_id bigint, size bigint, d1 bigint, d2 bigint, cells array<bigint>")
+    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(file, "doc_id bigint, row bigint, size bigint, d1 bigint, d2 bigint, cells array<bigint>")
 
 
 def _sets(docs: DataFrame, n: int, wanted: Bloom) -> DataFrame:
@@ -417,10 +417,22 @@ def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``df``, all columns, of which one of each group stays: the one with the
-    group's smallest key; of rows that repeat that key, one whole row."""
+    """Rows of ``df``, all columns, of which one of each group stays, a whole row: one with the
+    group's smallest key (null comes last), and of those one of the same text. Rows with
+    empty sets are in no group and all stay, as does what links to nothing, whatever its key."""
     filed, named, _ = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=False)
-    groups = filed.join(_told(filed, named, None), ["d1", "d2"], "left")
-    kept = groups.filter("size = 0 or doc_id <=> component_id").select("doc_id").distinct()
-    key = F.col(id_col).cast("long")
-    return df.join(kept, key.eqNullSafe(F.col("doc_id")) if id_col != "doc_id" else ["doc_id"], "left_semi")
+    rows = filed.filter("size > 0").groupBy("d1", "d2", "doc_id", "row").agg(F.lit(1))
+    least = rows.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    least = checkpoint(least.join(named.filter("component is not null").select("d1", "d2", "component"), ["d1", "d2"], "left").select("component", "first"))
+    firsts = least.filter("component is null").select("first").unionByName(least.filter("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first"))
+    kept = firsts.select("first.doc_id", "first.row", F.lit(False).alias("_all")).unionByName(filed.filter("size = 0").select("doc_id", "row", F.lit(True).alias("_all")).distinct())
+
+    def named_by(key, row):
+        # a null key as two columns, so that the join and the window share one exchange
+        return F.coalesce(key, F.lit(0).cast("bigint")).alias("_key"), key.isNull().alias("_null"), row.alias("_row")
+
+    same = ["_key", "_null", "_row"]
+    kept = kept.select(*named_by(F.col("doc_id"), F.col("row")), "_all")
+    keyed = df.select("*", *named_by(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string").cast("binary"))))
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
+    return keyed.join(kept, same).withColumn("_turn", turn).filter("_all or _turn = 1").select(*df.columns)

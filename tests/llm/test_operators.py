@@ -290,6 +290,22 @@ def test_jaccard_links(spark, docs, n, percent):
     assert want == {(i, j) for i in of for j in of if i < j and of[i] is not None and of[j] is not None and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in met)}
 
 
+def test_near_duplicates_by_row(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(f"v{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t, k: f"{t} end{k}"
+    rows = [(3, a, 0), (5, near(a, 1), 1), (5, b, 2), (6, near(b, 2), 3), (None, c, 4), (None, d, 5), (None, near(d, 3), 6), (None, near(a, 4), 7), (7, e, 8), (7, e, 9), (None, "", 10), (None, "", 11), (8, None, 12), (9, near(c, 5), 13)]
+    for key in ("doc_id", "number"):
+        df = spark.createDataFrame(rows, f"{key} long, text string, tag int").repartition(3)
+        got = jaccard.near_duplicates(df, id_col=key)
+        assert got.columns == df.columns
+        tags = {x.tag for x in got.collect()}
+        # the leaders, one of two null-keyed copies, one of two equal rows, and all empty texts
+        assert tags - {5, 6, 8, 9} == {0, 2, 13, 10, 11, 12}
+        assert len(tags & {5, 6}) == len(tags & {8, 9}) == 1 and got.count() == 8
+
+
 def test_pipeline_keeps_columns(spark, tmp_path):
     import corpus_pipeline
 
