@@ -236,6 +236,17 @@ def test_pii(docs):
     assert pii.detect(docs).count() == docs.count()
 
 
+def test_pii_written_out_at(spark):
+    text = "write to john at example.com please"
+    assert ("email", 9, 28) in pii.candidates(text)
+    far = "a dot b. " + text
+    assert [(k, a - 9, b - 9) for k, a, b in pii.candidates(far) if a >= 9] == pii.candidates(text)
+    # what a span is doesn't depend on an unrelated " dot "
+    own = {text[a:b] for _, a, b in pii.find(text, *pii.model())[1]}
+    assert own == {far[a:b] for _, a, b in pii.find(far, *pii.model())[1]}
+    assert any(not truth and k == "email" for k, _, _, _, truth in pii.compose(500, 7))
+
+
 def plain_components(rows, n, percent):
     import re
 
