@@ -420,8 +420,7 @@ def saved_iterations(spark, sf):
 
 
 def _chain(spark, sf, **how):
-    records = part_records(spark, sf).filter("rec_id <= 150")  # a demonstration chain: its size is a parameter
-    return run_inference(build_model(records, part_attributes(), PitmanYor(Gamma(1, 1), Beta(1, 1)), "rec_id", "file"), **how)
+    return run_inference(build_model(part_records(spark, sf), part_attributes(), PitmanYor(Gamma(1, 1), Beta(1, 1)), "rec_id", "file"), **how)
 
 
 @query()

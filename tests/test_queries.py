@@ -42,3 +42,10 @@ def test_entry_contract(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_chains_cover_all_parts(spark):
+    from kindred import queries
+
+    parts = {str(r[0]) for r in queries.part_records(spark, SF).select("rec_id").collect()}
+    assert {m for r in queries.flagship(spark, SF).collect() for m in r.members.split(",")} == parts
