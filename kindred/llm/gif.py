@@ -105,25 +105,28 @@ def lzw_pack(parts: list[np.ndarray], first: int = 256) -> bytes:
 def lzw_unpack(stream: bytes, first: int = 256) -> bytes:
     """The symbols of a code stream; stops at the end code or where the stream ends."""
     widths, starts = _bit_starts(first)
+    late = 12 * np.arange(len(widths) + 1)  # a block later on in a run: the table is full
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     ready = [bytes([i]) for i in range(first)] + [b"", b""]
     out: list[bytes] = []
-    bit, end = 0, 8 * len(stream)
+    bit, end, table, before = 0, 8 * len(stream), ready.copy(), b""
+    size, begin = widths, starts
     while bit < end:
-        n = min(len(widths), int(np.searchsorted(starts, end - bit, "right")) - 1)
+        n = min(len(widths), int(np.searchsorted(begin, end - bit, "right")) - 1)
         if n <= 0:
             break
-        at = bit + starts[:n]
+        at = bit + begin[:n]
         byte = at >> 3
-        codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (at & 7)) & ((1 << widths[:n]) - 1)
+        codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (at & 7)) & ((1 << size[:n]) - 1)
         stops = np.flatnonzero((codes == first) | (codes == first + 1))
         stop = int(stops[0]) if len(stops) else n
         if stop:
             run = codes[:stop].tolist()
-            table = ready.copy()
-            before = table[run[0]]
-            out.append(before)
-            for code in run[1:]:
+            if not before:
+                before = table[run[0]]
+                out.append(before)
+                run = run[1:]
+            for code in run:
                 entry = table[code] if code < len(table) else before + before[:1]
                 if len(table) < FULL:
                     table.append(before + entry[:1])
@@ -132,10 +135,12 @@ def lzw_unpack(stream: bytes, first: int = 256) -> bytes:
         if not len(stops):
             if n < len(widths):
                 break
-            raise ValueError("no clear code in a very long code run")
+            bit, size, begin = bit + int(begin[n]), np.full(len(widths), 12), late
+            continue
         if codes[stop] == first + 1:
             break
-        bit += int(starts[stop + 1])
+        bit += int(begin[stop + 1])
+        table, before, size, begin = ready.copy(), b"", widths, starts
     return b"".join(out)
 
 

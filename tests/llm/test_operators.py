@@ -120,6 +120,30 @@ def test_gif_disposal_transparency_interlace(spark):
     assert {r.media_id for r in gif.media_errors(df, "id", "media").collect()} == {2, 3}
 
 
+def test_gif_deferred_clear_code():
+    raw, first = random.Random(6).randbytes(60_000), 256
+    table, codes, held = {bytes([i]): i for i in range(256)}, [], b""
+    for k in range(len(raw)):
+        c = raw[k : k + 1]
+        if held + c in table:
+            held += c
+            continue
+        codes.append(table[held])
+        if len(table) + 2 < 4096:  # once it is full, the table stays as it is
+            table[held + c] = len(table) + 2
+        held = c
+    codes.append(table[held])
+    assert len(codes) > 40_000
+    widths = gif._bit_starts(first)[0]
+    bits = bytearray(f"{first:09b}"[::-1], "ascii")
+    for k, c in enumerate([*codes, first, 65, 66, first + 1]):
+        # the width after the last clear code
+        j = k if k <= len(codes) else k - len(codes) - 1
+        bits += f"{c:0{widths[min(j, len(widths) - 1)]}b}"[::-1].encode()
+    stream = np.packbits(np.frombuffer(bits, np.uint8) - 48, bitorder="little").tobytes()
+    assert gif.lzw_unpack(stream, first) == raw + b"AB"
+
+
 def test_pieces(docs):
     first = pieces.encode(docs).collect()
     again = pieces.encode(docs.repartition(7), slice_chars=50).collect()
