@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,13 @@ def bounded_batches(spark: SparkSession, mib: int = 4) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which the cluster shares. One is made here only where the
-    session names none, as in tests."""
+    session names none and runs on this machine alone, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
             import tempfile
 
             path = tempfile.mkdtemp(prefix="kindred-checkpoint-")
@@ -27,26 +31,47 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts the lineage at
-    files that survive a lost executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``checkpoint``, in a columnar, compressed table of the same folder: for wide ones."""
-    import uuid
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The folder, which must be there, goes when the driver ends."""
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
 
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder, in a columnar, compressed table, and read it back.
+    This cuts the lineage at files that survive a lost executor. The table goes with
+    ``discard``, or when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    vars(out)["_stored_at"] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote; nothing that is still to be read may derive from it."""
+    for table in tables:
+        if table is not None and (path := vars(table).pop("_stored_at", None)):
+            delete(table.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files, broadcasts and checkpoints of rounds
-    that are over. It acts when the driver has collected the objects that stood for them,
-    which a small driver of a long iteration may otherwise not do for half an hour."""
+    """Lets Spark's cleaner delete the shuffle files and broadcasts of rounds that are over.
+    It acts when the driver has collected the objects that stood for them, which a small
+    driver of a long iteration may otherwise not do for half an hour."""
     import gc
 
     gc.collect()

@@ -9,8 +9,10 @@ documents into one region. Regions here are cells of coarse projections instead:
    next range's lower end (the triangle inequality's window) are copied to it.
 3. In a region sets differ in at most h n-grams if linked. The space of n-grams is dealt
    into h + 1 + e parts, so that two linked sets agree on more than e parts whole.
-   A cell holds the sets that agree on one part. Parts with under two n-grams make no cell
-   for a set that has at most e of them: it agrees elsewhere.
+   A cell holds the sets that agree on one part. Parts without n-grams make no cell
+   for a set that has at most e of them. A set stays in a range only if it shares as many
+   cells there as a linked set would make it share (e + 1 less its empty parts), so the few
+   cells of a passage that unrelated texts have in common hold nothing.
 4. In each cell a pivot is elected (the smallest id) and the distance of all others to it
    is measured exactly. Members within 1/2 are its Voronoi region; those up to 1/2 plus
    the linking distance are copied to it, as the triangle inequality lets them link
@@ -43,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, checkpoint, id_and_text, release
-from kindred.llm.graph import Bloom, components
+from kindred.llm.common import bounded_batches, discard, id_and_text, release, stored
+from kindred.llm.graph import Bloom, components, may_have
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -53,6 +55,9 @@ _SPACE[[32, *range(9, 14)]] = True
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 #: Words of a difference's sketch; a power of two.
 SKETCH = 4
+#: Cells are counted in as many turns; and a set is in fewer ranges than these.
+SLICES, RANGES = 4, 16
+_RANGE = np.uint64(RANGES - 1)
 
 
 def _powers(base: np.uint64, n: int, memo: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
@@ -118,16 +123,17 @@ class Cells:
             out.append(out[-1] + 1)
         return out
 
-    def of(self, s: np.ndarray) -> np.ndarray:
-        """Cell ids of a sorted set."""
-        out = []
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Cell ids of a sorted set, and by range how many of them the set shares at least if
+        it has a link there. The low bits of a cell are those of its range."""
+        out, needs = [], []
         for r in self.ranges(len(s)):
             if r + 1 >= len(self.starts):
                 self.ranges(self.starts[-1])
             h = self.most_apart(self.starts[r + 1] - 1)
             if not h:
                 continue  # linked sets of this size are equal
-            spare = 3 + 3 * h // 100 if self.starts[r + 1] >= 60 else 0
+            spare = 1 + h // 5
             k = h + 1 + spare
             cuts = np.searchsorted((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
             sums = np.zeros(len(s) + 1, np.uint64)
@@ -135,9 +141,13 @@ class Cells:
             held = np.diff(cuts)
             part = np.arange(k, dtype=np.uint64)
             cell = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(part + np.uint64(k << 24) + (np.uint64(r) << np.uint64(50))))
-            weak = held < 2
-            out.append(cell[~weak] if weak.sum() <= spare else cell)
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            cell = cell & ~_RANGE | np.uint64(r % RANGES)
+            empty = k - int(np.count_nonzero(held))
+            # of the more than ``spare`` parts on which a linked set agrees, ``empty`` may have no cell;
+            # with more empty ones than that, the linked set may have ``spare`` without a cell
+            out.append(cell[held > 0] if empty <= spare else cell)
+            needs.append((r % RANGES, spare + 1 - empty if empty <= spare else 1))
+        return (np.concatenate(out) if out else np.empty(0, np.uint64)), needs
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -145,40 +155,94 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+_SLICES = [f"cells_{k}" for k in range(SLICES)]
+
+
 def _points(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, row (a hash of the text as it stands), size, the set's digest (d1, d2) and its cells."""
+    """doc_id, row (a hash of the text as it stands), size, the set's digest (d1, d2), what it must
+    share (16 * number + range's low bits) and its cells, in columns by two bits of the cell."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = Cells(percent)
+        filing = Cells(percent)
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
             digests = [_digest(s) for s in sets]
-            own = [cells.of(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, own)])
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64()), column], ["doc_id", "row", "size", "d1", "d2", "cells"])
+            filed = [filing.of(s) for s in sets]
+            needs = _lists([np.array([RANGES * need + r for r, need in needs], np.int32) for _, needs in filed], pa.int32())
+            slices = [_lists([cells[(cells >> np.uint64(60)) % np.uint64(SLICES) == k].view(np.int64) for cells, _ in filed], pa.int64()) for k in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64()), needs, *slices], ["doc_id", "row", "size", "d1", "d2", "needs", *_SLICES])
+
+    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(file, "doc_id bigint, row bigint, size bigint, d1 bigint, d2 bigint, needs array<int>, " + ", ".join(f"{c} array<bigint>" for c in _SLICES))
+
+
+def _members(filed: DataFrame) -> DataFrame:
+    """d1, d2, cell where a cell holds another set, too, and the set has what it needs of these."""
+    spark, shared = filed.sparkSession, []
+    for column in _SLICES:
+        cells = filed.select("d1", F.explode(column).alias("cell"))
+        # min and max by cell, before the shuffle: a cell with one set is of no use
+        shared.append(stored(cells.groupBy("cell").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("cell")))
+        release(spark)  # a slice's shuffle goes before the next one's
+    wanted = functools.reduce(DataFrame.unionByName, shared)
+    bloom = Bloom.of(wanted, "cell")
+    sent = spark.sparkContext.broadcast(bloom)  # its size is bounded
 
-    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(file, "doc_id bigint, row bigint, size bigint, d1 bigint, d2 bigint, cells array<bigint>")
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, of = [], []
+            for column in _SLICES:
+                lists = batch.column(column)
+                of.append(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
+                held.append(lists.flatten().to_numpy(zero_copy_only=False))
+            flat, of = np.concatenate(held), np.concatenate(of)
+            if sent.value is not None:
+                passed = sent.value.may_have(flat)
+                flat, of = flat[passed], of[passed]
+            lists = batch.column("needs")
+            told = lists.flatten().to_numpy(zero_copy_only=False)
+            needs = np.zeros(len(lists) * RANGES, np.int64)
+            needs[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) * RANGES + told % RANGES] = told // RANGES
+            own = of * RANGES + (flat & (RANGES - 1))
+            kept = np.bincount(own, minlength=len(needs))[own] >= needs[own]
+            at = pa.array(of[kept])
+            yield pa.RecordBatch.from_arrays([batch.column("d1").take(at), batch.column("d2").take(at), pa.array(flat[kept]), pa.array(needs[own[kept]].astype(np.int32))], ["d1", "d2", "cell", "need"])
 
+    likely = filed.filter("size > 0").select("d1", "d2", "needs", *_SLICES).mapInArrow(few, "d1 bigint, d2 bigint, cell bigint, need int")
+    members = likely.join(wanted, "cell", "left_semi").distinct()
+    if bloom is None:  # no count was taken before the join
+        members = stored(members)
+        own = ["d1", "d2", (F.col("cell").bitwiseAND(F.lit(RANGES - 1))).alias("range")]
+        enough = members.groupBy(*own).agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("d1", "d2", "range")
+        members = members.withColumn("range", own[2]).join(enough, ["d1", "d2", "range"], "left_semi")
+    out = stored(members.select("d1", "d2", "cell"))
+    discard(*shared)
+    return out
 
-def _sets(docs: DataFrame, n: int, wanted: Bloom) -> DataFrame:
-    """d1, d2 and the elements of the sets that are wanted; a few others may come along."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # 8 MiB whatever the input
+
+def _sets(docs: DataFrame, n: int, wanted: Bloom | None) -> DataFrame:
+    """row, d1, d2 and the elements of the rows that are wanted, once a task; a few others may
+    come along."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # its size is bounded
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, n)
-                d = _digest(s)
-                if len(s) and sent.value.may_have(np.array(d[:1], np.int64))[0]:
-                    rows.append((*d, s.view(np.int64)))
-            if rows:
-                a, b, sets = zip(*rows, strict=True)
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["d1", "d2", "elements"])
+            hashes = batch.column("row").to_numpy()
+            at = np.arange(len(hashes)) if sent.value is None else np.flatnonzero(sent.value.may_have(hashes))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            at = [k for k in at.tolist() if hashes[k] not in seen and not seen.add(hashes[k])]
+            sets = [(int(hashes[k]), shingles(text, n)) for k, text in zip(at, batch.column("text").take(pa.array(at, pa.int64())).to_pylist(), strict=True)]
+            sets = [(row, s) for row, s in sets if len(s)]
+            digests = [_digest(s) for _, s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), _lists([s.view(np.int64) for _, s in sets], pa.int64())], ["row", "d1", "d2", "elements"])
 
-    return docs.mapInArrow(read, "d1 bigint, d2 bigint, elements array<bigint>")
+    return docs.select(F.xxhash64("text").alias("row"), "text").mapInArrow(read, "row bigint, d1 bigint, d2 bigint, elements array<bigint>")
 
 
 def _measured(pairs: DataFrame, points: DataFrame, window: int | None = None) -> DataFrame:
@@ -208,9 +272,11 @@ def _labelled(points: DataFrame, known: DataFrame | None) -> DataFrame:
 
 def _open(cells: DataFrame, known: DataFrame | None) -> DataFrame:
     """cell, id of the cells that hold more than one component."""
-    labelled = checkpoint(_labelled(cells.select("cell", "id"), known))
+    labelled = stored(_labelled(cells.select("cell", "id"), known))
     several = labelled.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell")
-    return labelled.join(several, "cell", "left_semi").select("cell", "id")
+    out = stored(labelled.join(several, "cell", "left_semi").select("cell", "id"))
+    discard(labelled)
+    return out
 
 
 def _elected(cells: DataFrame, pivots: int) -> DataFrame:
@@ -227,7 +293,7 @@ def _round(cells: DataFrame, points: DataFrame, pivots: int, percent: int) -> tu
     pivot leave, as whatever links to them is within the pivot's region."""
     elected = _elected(cells, pivots)
     met = cells.join(elected, "cell").filter("id <> pivot")
-    measured = checkpoint(_measured(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), points, percent - 50))
+    measured = stored(_measured(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), points, percent - 50))
     near = measured.filter("2 * common > size_a + size_b - common").select(F.col("a").alias("pivot"), F.col("b").alias("id"))
     gone = met.select("cell", "id", "pivot").join(near, ["pivot", "id"]).select("cell", "id").distinct()
     gone = gone.unionByName(elected.select("cell", F.col("pivot").alias("id"))).distinct()
@@ -271,7 +337,7 @@ def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int) -> D
     words = [f"s{k}" for k in range(SKETCH)]
     state = ["a", "id", "size", "component", "apart", "h", *words]
     of = of.select("*", *[_parities("lacking", k).alias(word) for k, word in enumerate(words)])
-    of = checkpoint(of.select(*state, "lacking"))
+    of = stored(of.select(*state, "lacking"))
     # ranks are found on keys alone; what describes a set comes after
     held = of.select("a", "id", "apart", F.explode("lacking").alias("e"))
     often = held.groupBy("a", "e").agg(F.count("*").alias("n")).filter("n > 1")
@@ -279,7 +345,7 @@ def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int) -> D
     own = Window.partitionBy("a", "id")
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("n", "e"))).withColumn("rank", F.col("apart") - F.count("*").over(own) + F.col("rank"))
     ranked = ranked.select("a", "id", "e", "rank").join(of.select(*state), ["a", "id"])
-    large = checkpoint(ranked.filter("rank <= h + 1").select("a", "e", *state[1:], "rank"))
+    large = stored(ranked.filter("rank <= h + 1").select("a", "e", *state[1:], "rank"))
     # no shared element is needed if the two differences together are at most h
     first = F.lit(1).alias("rank")
     alone = of.filter("apart <= h").select(F.col("a"), F.col("apart").cast("bigint").alias("e"), *state[1:], first)
@@ -297,14 +363,19 @@ def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int) -> D
         both = both.filter(allowed("y.apart - x.apart")).filter(allowed(" + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words)))
         return both.filter(F.expr(f"100L * least(x.size, y.size) >= {percent}L * greatest(x.size, y.size)")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
-    return met(small, large).unionByName(met(alone, reach)).distinct()
+    out = stored(met(small, large).unionByName(met(alone, reach)).distinct())
+    discard(of, large)
+    return out
 
 
 def _grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
-    """id, component once the links (a, b) are known, too. Only links between different
-    components count, and they are joined as links between these."""
+    """id, component once the links (a, b) are known, too, as a stored table; ``known`` goes.
+    Only links between different components count, and they are joined as links between these."""
     if known is None:
-        return components(found).withColumnRenamed("v", "id")
+        first = components(found)
+        out = first.withColumnRenamed("v", "id")
+        vars(out)["_stored_at"] = vars(first)["_stored_at"]
+        return out
     for end in ("a", "b"):
         label = known.select(F.col("id").alias(end), "component")
         found = found.join(label, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
@@ -312,7 +383,9 @@ def _grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
     of = merged.select(F.col("v").alias("component"), F.col("component").alias("further"))
     old = known.join(of, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
     new = merged.withColumnRenamed("v", "id").join(known.select("id"), "id", "left_anti").select("id", "component")
-    return checkpoint(old.unionByName(new))
+    out = stored(old.unionByName(new))
+    discard(known, merged)
+    return out
 
 
 def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -322,59 +395,60 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
     cells, turn, known, links = members.select("cell", "id"), 0, None, []
     while turn == 0 or not cells.isEmpty():
         measured, rest = _round(cells, points, pivots if turn else 1, percent)
-        found = measured.filter(_linked(percent)).select("a", "b")
-        if every:
-            # of its own, so that the measured differences needn't be kept with it
-            found = checkpoint(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            links.append(found)
-        if known is None or not found.isEmpty():
-            known = _grown(known, found)
-        pairs = checkpoint(_in_regions(measured, None if every else known, percent))
-        found = checkpoint(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
-        links.append(found)
+        near = stored(measured.filter(_linked(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if known is None or not near.isEmpty():
+            known = _grown(known, near)
+        pairs = _in_regions(measured, None if every else known, percent)
+        found = stored(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
+        discard(pairs)
         release(cells.sparkSession)
         if not found.isEmpty():
             known = _grown(known, found)
-        cells = checkpoint(_open(rest, None if every else known))
+        over, cells = cells, _open(rest, None if every else known)
+        discard(measured, over)
         if turn == 0 and not cells.isEmpty():
-            cells = checkpoint(_open(_refiled(cells, points, percent), None if every else known))
-        if not every:
-            links.clear()
+            far, cells = cells, stored(_refiled(cells, points, percent))
+            discard(far)
+            over, cells = cells, _open(cells, None if every else known)
+            discard(over)
+        if every:
+            links += [near, found]
+        else:
+            discard(near, found)
         release(cells.sparkSession)
         turn += 1
-    return known, checkpoint(functools.reduce(DataFrame.unionByName, links).distinct()) if every else None
+    discard(cells)
+    if not every:
+        return known, None
+    out = stored(functools.reduce(DataFrame.unionByName, links).distinct())
+    discard(*links)
+    return known, out
 
 
 def _linked_sets(docs: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """The documents' points; id, d1, d2 and component of the sets that share a cell (null if they
-    link with none); and with ``every`` the links (a, b) between ids."""
-    bounded_batches(docs.sparkSession)
-    filed = checkpoint(_points(docs, n, percent))
-    cells = filed.select("d1", "d2", F.explode("cells").alias("cell"))
-    # min and max by cell, before the shuffle: a cell with one set is of no use
-    shared = checkpoint(cells.groupBy("cell").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("cell"))
-    release(docs.sparkSession)
-    wanted = Bloom.of(shared, "cell")
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("cells")
-            of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            kept = sent.value.may_have(flat)
-            at = pa.array(of[kept])
-            yield pa.RecordBatch.from_arrays([batch.column("d1").take(at), batch.column("d2").take(at), pa.array(flat[kept])], ["d1", "d2", "cell"])
-
-    likely = filed.filter("size > 0").select("d1", "d2", "cells").mapInArrow(few, "d1 bigint, d2 bigint, cell bigint")
-    members = checkpoint(likely.join(shared, "cell").distinct())
-    involved = Bloom.of(members.select("d1").distinct(), "d1")
-    sets = _sets(docs, n, involved).join(members.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
-    release(docs.sparkSession)
-    points = checkpoint(sets.groupBy("d1", "d2").agg(F.first("elements").alias("elements")).withColumn("id", F.monotonically_increasing_id()))
-    names = points.select("d1", "d2", "id")
-    known, links = link_points(members.join(names, ["d1", "d2"]).select("cell", "id"), points.select("id", "elements"), percent, every=every)
-    return filed, names.join(known, "id", "left"), links
+    """The documents' points, without cells; id, d1, d2 and component of the sets that share
+    enough cells (null if they link with none); and with ``every`` the links (a, b) between ids."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    points = stored(_points(docs, n, percent))
+    filed = stored(points.select("doc_id", "row", "size", "d1", "d2"))
+    members = _members(points)
+    discard(points)
+    # a row of each set, so that copies are read and shuffled once
+    involved = members.select("d1", "d2").distinct()
+    rows = stored(filed.join(involved, ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.min("row").alias("row")))
+    release(spark)
+    sets = _sets(docs, n, Bloom.of(rows, "row")).join(rows, ["d1", "d2", "row"], "left_semi")
+    found = sets.groupBy("d1", "d2").agg(F.first("elements").alias("elements"))
+    points = stored(found.withColumn("id", F.monotonically_increasing_id()))
+    names = stored(points.select("d1", "d2", "id"))
+    cells = stored(members.join(names, ["d1", "d2"]).select("cell", "id"))
+    discard(members, rows)
+    release(spark)
+    known, links = link_points(cells, points.select("id", "elements"), percent, every=every)
+    named = stored(names.join(known, "id", "left"))
+    discard(points, names, cells, known)
+    return filed, named, links
 
 
 def _told(filed: DataFrame, named: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -383,14 +457,14 @@ def _told(filed: DataFrame, named: DataFrame, links: DataFrame | None) -> DataFr
     least = filed.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     of_sets = least.join(named, ["d1", "d2"], "left")
     if links is not None:
-        of_sets = checkpoint(of_sets)
+        of_sets = stored(of_sets)
         copies = of_sets.filter("id is not null").select("id", "copies")
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         others = ends.join(copies.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
         of_sets = of_sets.join(others, "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0).cast("bigint")))
     of_parts = of_sets.filter("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
     more = ["n_links"] if links is not None else []
-    return checkpoint(of_sets.join(of_parts, "component", "left").select("d1", "d2", *more, F.coalesce("smallest", "least").alias("component_id")))
+    return stored(of_sets.join(of_parts, "component", "left").select("d1", "d2", *more, F.coalesce("smallest", "least").alias("component_id")))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -410,7 +484,7 @@ def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filed, named, links = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=True)
     sets = filed.filter("size > 0").select("d1", "d2").distinct().join(named, ["d1", "d2"], "left")
     # sets that share no cell have no links; their numbers are below those of the others
-    sets = checkpoint(sets.select("d1", "d2", F.coalesce("id", -1 - F.monotonically_increasing_id()).alias("representative")))
+    sets = stored(sets.select("d1", "d2", F.coalesce("id", -1 - F.monotonically_increasing_id()).alias("representative")))
     rows = filed.select("doc_id", "size", "d1", "d2")
     membership = rows.filter("size > 0").join(sets, ["d1", "d2"]).select("doc_id", "representative")
     return links, membership.unionByName(rows.filter("size = 0").select("doc_id", F.lit(None).cast("bigint").alias("representative")))
@@ -423,16 +497,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     filed, named, _ = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=False)
     rows = filed.filter("size > 0").groupBy("d1", "d2", "doc_id", "row").agg(F.lit(1))
     least = rows.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
-    least = checkpoint(least.join(named.filter("component is not null").select("d1", "d2", "component"), ["d1", "d2"], "left").select("component", "first"))
+    least = stored(least.join(named.filter("component is not null").select("d1", "d2", "component"), ["d1", "d2"], "left").select("component", "first"))
     firsts = least.filter("component is null").select("first").unionByName(least.filter("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first"))
     kept = firsts.select("first.doc_id", "first.row", F.lit(False).alias("_all")).unionByName(filed.filter("size = 0").select("doc_id", "row", F.lit(True).alias("_all")).distinct())
 
     def named_by(key, row):
-        # a null key as two columns, so that the join and the window share one exchange
+        # a null key as two columns, so that joins need no null-safe comparison
         return F.coalesce(key, F.lit(0).cast("bigint")).alias("_key"), key.isNull().alias("_null"), row.alias("_row")
 
-    same = ["_key", "_null", "_row"]
+    same, spark = ["_key", "_null", "_row"], df.sparkSession
     kept = kept.select(*named_by(F.col("doc_id"), F.col("row")), "_all")
-    keyed = df.select("*", *named_by(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string").cast("binary"))))
-    turn = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
-    return keyed.join(kept, same).withColumn("_turn", turn).filter("_all or _turn = 1").select(*df.columns)
+    there = filed.select(*named_by(F.col("doc_id"), F.col("row"))).groupBy(*same).agg(F.count("*").alias("_n"))
+    # rows that go, and rows of which one stays; all others stay where they are, unshuffled
+    told = there.join(kept, same, "left").filter("_all is null or _n > 1 and not _all").select(*same, F.col("_all").isNotNull().alias("_one"))
+    told = stored(told.withColumn("_hash", F.xxhash64(*same)))
+    bloom = Bloom.of(told, "_hash")
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole"), *named_by(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string").cast("binary"))))
+    keyed = keyed.withColumn("_may", may_have(bloom, spark, F.xxhash64(*same)))
+    looked = keyed.filter("_may").join(told.select(*same, "_one"), same, "left")
+    once = looked.filter("_one").groupBy(*same).agg(F.first("_whole").alias("_whole"))
+    out = keyed.filter("not _may").select("_whole").unionByName(looked.filter("_one is null").select("_whole")).unionByName(once.select("_whole"))
+    discard(least)
+    return out.select(*[F.col(f"_whole.`{c}`").alias(c) for c in df.columns])

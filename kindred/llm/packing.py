@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, checkpoint, id_and_text
+from kindred.llm.common import bounded_batches, stored, id_and_text
 
 #: The public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -159,14 +159,14 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, path: str | None, end_id
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, capacity: int = 1024, rows_per_partition: int = 50_000, rounds: int = 8) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece."""
-    return pack_pieces(checkpoint(tokenise(df, id_col, text_col, path, end_id, capacity)), capacity, rows_per_partition, rounds)
+    return pack_pieces(stored(tokenise(df, id_col, text_col, path, end_id, capacity)), capacity, rows_per_partition, rounds)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 1024, rows_per_partition: int = 50_000, rounds: int = 8) -> DataFrame:
     """Packs rows that have a ``length``; adds sequence_id and offset. ``pieces`` must be
     a stored table, as it is read more than once."""
     names = pieces.columns
-    pieces = checkpoint(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    pieces = stored(pieces.withColumn("_row", F.monotonically_increasing_id()))
     # a row for each length, capacity of them at most
     sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     lengths = np.repeat(np.array([*sizes], np.int64), [*sizes.values()]) if sizes else np.empty(0, np.int64)
@@ -199,7 +199,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, rows_per_partition: int
         # partitions hold about rows_per_partition small rows whatever the table's size
         dealt = left.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(parts)).cast("int"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", sequence_id bigint, offset bigint, _stays boolean"
-        packed = checkpoint(dealt.groupBy("_part").applyInPandas(fit, schema))
+        packed = stored(dealt.groupBy("_part").applyInPandas(fit, schema))
         done.append(packed.filter("_stays").select(*names, "sequence_id", "offset"))
         if last:
             break

@@ -39,10 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from kindred.llm.common import bounded_batches, checkpoint, id_and_text, release, stored
-from kindred.llm.graph import Bloom
+from kindred.llm.common import bounded_batches, discard, id_and_text, release, stored
+from kindred.llm.graph import Bloom, may_have
 from kindred.llm.jaccard import _B, _INVERSE, _powers, mix
 
 ANCHOR, CHUNK, POSITION = 32, 1 << 23, np.uint64((1 << 24) - 1)
@@ -206,16 +205,16 @@ def _hashes(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(read, "anchor bigint")
 
 
-def _segments(docs: DataFrame, wanted: Bloom, length: int) -> DataFrame:
+def _segments(docs: DataFrame, wanted: Bloom | None, length: int) -> DataFrame:
     """Segments with an anchor that is wanted; a few others may come along."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # 8 MiB whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # its size is bounded
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, rows = [], []
             for k, raw in enumerate(batch.column("text").to_pylist()):
                 h, start, n = anchors(raw, length)
-                kept = np.flatnonzero(sent.value.may_have(h))
+                kept = np.arange(len(h)) if sent.value is None else np.flatnonzero(sent.value.may_have(h))
                 if len(kept):
                     start, n = start[kept], n[kept]
                     of.append(np.full(len(kept), k))
@@ -280,18 +279,6 @@ def _marked_by_hash(open_segments: DataFrame, length: int) -> DataFrame:
     return later.select("doc_id", "k", F.col("at").alias("from"), (F.col("at") + length).alias("to"))
 
 
-def _has(wanted: Bloom, spark):
-    sent = spark.sparkContext.broadcast(wanted)
-
-    @F.pandas_udf(BooleanType())
-    def has(k):
-        import pandas as pd
-
-        return pd.Series(sent.value.may_have(k.to_numpy(np.int64)))
-
-    return has
-
-
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = id_and_text(df, id_col, text_col, binary=True).withColumn("text", F.coalesce("text", F.lit(b"")))
     return docs.withColumn("k", F.xxhash64("doc_id", "text"))
@@ -305,10 +292,12 @@ def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     docs = _keyed(df, id_col, text_col)
     if length < ANCHOR:
         raise ValueError(f"length must be {ANCHOR} at least")
-    repeated = _hashes(docs, length).groupBy("anchor").count().filter("count > 1").select("anchor")
+    repeated = stored(_hashes(docs, length).groupBy("anchor").count().filter("count > 1").select("anchor"))
     wanted = Bloom.of(repeated, "anchor")
     release(spark)
-    segments = stored(_segments(docs, wanted, length))
+    segments = _segments(docs, wanted, length)
+    segments = stored(segments if wanted is not None else segments.join(repeated, "anchor", "left_semi"))
+    discard(repeated)
     first = segments.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "k", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
     first = stored(first)
     release(spark)
@@ -320,7 +309,7 @@ def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     undecided = first.join(kinds, "anchor").select("anchor", "kinds", "first.*", "n")
     of_docs = undecided.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "start", "n", "kinds")).alias("parts"))
     of_docs = stored(of_docs)
-    likely = docs.filter(_has(Bloom.of(of_docs, "k"), spark)("k"))
+    likely = docs.filter(may_have(Bloom.of(of_docs, "k"), spark, F.col("k")))
     same = [F.col("d.k") == F.col("p.k"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))]
     once = likely.alias("d").join(of_docs.alias("p"), same[0] & same[1]).select("d.doc_id", "d.k", "text", "parts")
     cut = once.select("doc_id", "k", "text", F.explode("parts").alias("p"))
@@ -348,8 +337,7 @@ def _with_spans(df: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
     are shuffled."""
     found = stored(found)
     release(df.sparkSession)
-    may = _has(Bloom.of(found, "k"), df.sparkSession)
-    flagged = docs.withColumn("_may", may("k"))
+    flagged = docs.withColumn("_may", may_have(Bloom.of(found, "k"), df.sparkSession, F.col("k")))
     f = found.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "spans")
     joined = flagged.filter("_may").join(f, (F.col("k") == F.col("_k")) & F.col("_key").eqNullSafe(F.col("_id")), "left").drop("_id", "_k")
     return joined.unionByName(flagged.filter("not _may").withColumn("spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))).drop("_may")

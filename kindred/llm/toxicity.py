@@ -108,9 +108,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(seen[1, there], texts[1])), pa.array(np.append(seen[0, there], texts[0]))], ["feature", "pos", "neg"])
 
     sums = rows.mapInArrow(count, "feature bigint, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    from kindred.llm.common import checkpoint
+    from kindred.llm.common import stored
 
-    sums = checkpoint(sums)
+    sums = stored(sums)
     total = sums.filter("feature = -1").collect()
     pos, neg = (total[0]["pos"], total[0]["neg"]) if total else (0, 0)
     if not pos or not neg:
