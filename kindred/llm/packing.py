@@ -7,8 +7,8 @@ best-fit decreasing. Dual feasible functions bound from below how many sequences
 partition needs (the sum, Martello and Toth's thresholds, and rounded multiples); a
 partition that meets its bound is certified. Those with a gap give up the documents of
 all sequences that aren't full; certified ones give up those of their emptiest sequence.
-What was given up is dealt anew, to fewer partitions, and packed again, until one
-partition holds it all or the whole count meets the whole table's bound.
+What was given up is dealt anew and packed again, until one partition holds it all, the whole
+count meets the whole table's bound, or a turn neither closes nor saves a sequence.
 
 ``bounds`` gives the number of sequences and the bound for the table. Null texts count
 as empty: one piece, the end id. Equal rows are packed as the separate rows they are.
@@ -18,6 +18,7 @@ An empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, stored, id_and_text
+from kindred.llm.common import bounded_batches, id_and_text, stored
 
 #: The public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,8 +44,8 @@ def default_tokenizer() -> str:
 class Tokens:
     """Ids as the ``tokenizers`` library gives them for a byte-level BPE file, special
     tokens in a text included. Its merges are run by ``tiktoken``, several times as fast;
-    texts with a special token's string, and files whose ids aren't in merge order, go
-    to ``tokenizers`` itself."""
+    texts with a special token's string, and files whose ids aren't in merge order or
+    that split, normalise or merge otherwise, go to ``tokenizers`` itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,7 +66,10 @@ class Tokens:
             fast = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
             made = [vocabulary[m.replace(" ", "")] for m in merges]
-            if made == sorted(made):
+            before = spec.get("pre_tokenizer") or {}
+            as_pattern = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+            whole = not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+            if made == sorted(made) and as_pattern and whole and spec.get("normalizer") is None and not spec.get("truncation"):
                 self.fast = fast
         except (ImportError, KeyError):
             pass
@@ -82,11 +86,9 @@ def load(path: str) -> Tokens:
 
 
 # -- bounds and best fit --------------------------------------------------------
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """No packing has fewer bins; the best of a family of dual feasible functions."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+def lower_bound(count: np.ndarray, capacity: int) -> int:
+    """No packing of count[s] items of each size s, 0 to capacity, has fewer bins; the best of
+    a family of dual feasible functions."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     # over thresholds a: larger than capacity - a counts whole, smaller than a not at all
@@ -157,35 +159,41 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, path: str | None, end_id
     return id_and_text(df, id_col, text_col).mapInArrow(pieces, PIECES + ", ids array<int>" * keep_ids)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, capacity: int = 1024, rows_per_partition: int = 50_000, rounds: int = 8) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, capacity: int = 1024, rows_per_partition: int = 50_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece."""
-    return pack_pieces(stored(tokenise(df, id_col, text_col, path, end_id, capacity)), capacity, rows_per_partition, rounds)
+    pieces = tokenise(df, id_col, text_col, path, end_id, capacity)
+    return pack_pieces(pieces, capacity, rows_per_partition)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, rows_per_partition: int = 50_000, rounds: int = 8) -> DataFrame:
-    """Packs rows that have a ``length``; adds sequence_id and offset. ``pieces`` must be
-    a stored table, as it is read more than once."""
+def _histogram(pieces: DataFrame, capacity: int) -> np.ndarray:
+    """Pieces by length: capacity + 1 numbers, however many pieces there are."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return count
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, rows_per_partition: int = 50_000) -> DataFrame:
+    """Packs rows that have a ``length``; adds sequence_id and offset."""
     names = pieces.columns
     pieces = stored(pieces.withColumn("_row", F.monotonically_increasing_id()))
-    # a row for each length, capacity of them at most
-    sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    lengths = np.repeat(np.array([*sizes], np.int64), [*sizes.values()]) if sizes else np.empty(0, np.int64)
-    bound = lower_bound(lengths, capacity)
+    sizes = _histogram(pieces, capacity)
+    bound = lower_bound(sizes, capacity)
     done = [pieces.filter(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    closed = sizes.get(capacity, 0)
-    left, n = pieces.filter(F.col("length") < capacity), sum(c for s, c in sizes.items() if s < capacity)
+    closed, n = int(sizes[capacity]), int(sizes[:capacity].sum())
+    left, before = pieces.filter(F.col("length") < capacity), None
     columns = [f for f in pieces.schema.fields]
-    for turn in range(rounds):
+    for turn in itertools.count():
         if not n:
             break
         parts = max(1, -(-n // rows_per_partition))
-        last = parts == 1 or turn == rounds - 1
+        last = parts == 1
 
         def fit(group: pd.DataFrame) -> pd.DataFrame:  # sent off before the next turn
             group = group.sort_values("_row", kind="stable")
             own = group["length"].to_numpy()
             bins, offsets, full = best_fit(own, capacity)
-            certified = len(full) == lower_bound(own, capacity)
+            certified = len(full) == lower_bound(np.bincount(own, minlength=capacity + 1).astype(np.int64), capacity)
             stays = full == capacity
             if last:
                 stays[:] = True
@@ -194,7 +202,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, rows_per_partition: int
                 stays[int(full.argmin())] = full.min() == capacity
             part = int(group["_part"].iloc[0])
             out = group.drop(columns=["_part"])
-            return out.assign(sequence_id=(turn << 56) + (part << 28) + bins, offset=offsets, _stays=stays[bins])
+            return out.assign(sequence_id=(turn << 46) + (part << 20) + bins, offset=offsets, _stays=stays[bins])
 
         # partitions hold about rows_per_partition small rows whatever the table's size
         dealt = left.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(parts)).cast("int"))
@@ -204,19 +212,16 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, rows_per_partition: int
         if last:
             break
         stats = packed.agg(F.count_if(~F.col("_stays")).alias("left"), F.count_if(F.col("offset") == 0).alias("bins"), F.count_if(F.col("_stays") & (F.col("offset") == 0)).alias("closed")).first()
-        if closed + stats["bins"] <= bound:  # the whole table's bound is met
+        used = closed + stats["bins"]
+        if used <= bound or not stats["closed"] and before is not None and used >= before:
             done[-1] = packed.select(*names, "sequence_id", "offset")
             break
-        closed, n = closed + stats["closed"], stats["left"]
+        closed, n, before = closed + stats["closed"], stats["left"], used
         left = packed.filter(~F.col("_stays")).select(*pieces.columns)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def bounds(packed: DataFrame, capacity: int = 1024) -> tuple[int, int]:
-    """Sequences in a packing, and the least that any packing of its pieces has."""
-    sizes = {r["length"]: r["count"] for r in packed.groupBy("length").count().collect()}
-    used = packed.filter("offset = 0").count()
-    return used, lower_bound(np.repeat(np.array([*sizes], np.int64), [*sizes.values()]), capacity) if sizes else 0
+    """Sequences in a packing, and the least that any packing of its pieces has: their
+    difference is the gap that is left."""
+    return packed.filter("offset = 0").count(), lower_bound(_histogram(packed, capacity), capacity)

@@ -6,23 +6,26 @@ and not tried again. Those spans always stay.
 
 Beyond them, generators propose spans that may overlap: phone numbers without a
 plus, emails written out ("name at host dot com"), national identity numbers,
-IBANs and cards with odd separators. A gradient-boosted ensemble of regression
+IBANs, cards with odd separators, and credentials (keys, tokens, passwords). A gradient-boosted ensemble of regression
 trees scores each by its format (lengths, digits, separators, checksums) and its context
 (cue words before it, characters around it). It is trained here, on texts that a seeded
-generator composes with known spans. The threshold is the smallest whose
-precision on composed texts that training has not seen is at least ``precision``, and
-a half at least.
+generator composes with known spans. Each kind has a threshold of its own: the smallest
+whose precision on composed candidates of that kind that training has not seen is at least
+``precision``, and a half at least.
 Spans that pass and overlap no base span are added, best first where they overlap
 one another.
 
 Null and empty texts have no spans. Texts are scanned whole. The runs of digits or
-of address characters that a text holds are each read once, so time is linear in the text.
+of address characters that a text holds are each read once, and spans are kept in order, so
+time grows with the text and the logarithm of its candidates.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import bounded_batches, id_and_text
 
-KINDS = ("email", "ip", "card", "phone", "national_id", "iban")
+KINDS = ("email", "ip", "card", "phone", "national_id", "iban", "secret")
 _BASE = KINDS[:4]
 Span = tuple[str, int, int]
 
@@ -96,6 +99,9 @@ GENERATORS: list[tuple[str, re.Pattern]] = [
     ("national_id", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9A-Za-z-])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20]?[0-9A-Z]{4}){3,7}(?:[\x20]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[.\x20/_-]{1,2}[0-9]{4}){2,3}(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,128}(?![A-Za-z0-9_+/-])")),
+    # of a named value the value alone is the span
+    ("secret", re.compile(r"(?i)(?:passw(?:or)?d|passwort|pwd|secret|token|key)[\x20]?[:=][\x20]?[\"']?([^\s\"']{6,128})")),
 ]
 CUES = [
     re.compile(r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|téléphone|teléfono|whatsapp)\b"),
@@ -103,6 +109,7 @@ CUES = [
     re.compile(r"(?i)\b(?:ssn|social security|national id|identity|dni|insurance number|personalausweis)\b"),
     re.compile(r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b"),
     re.compile(r"(?i)\b(?:card|visa|mastercard|credit|debit|kreditkarte|tarjeta|carte)\b"),
+    re.compile(r"(?i)(?:passw(?:or)?d|passwort|pwd|secret|token|key|credentials?)[\x20]?[:=]?[\x20]?[\"']?\Z"),
     re.compile(r"(?i)\b(?:version|order|invoice|ref|isbn|part|serial|page|pages|chapter|section|years?|date|total|price|lot|look|meet|room)\b"),
 ]
 
@@ -121,6 +128,7 @@ def describe(kind: str, text: str, start: int, end: int) -> list[float]:
     return [
         KINDS.index(kind), len(s), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), s.count("-"), s.count("."), s.count(" "), s.count("/"), float("(" in s),
         float(12 <= len(digits) <= 19 and luhn(digits)), float(kind == "iban" and _mod97(s)), float(year), float(len(set(digits)) <= 2), float(digits[:1] == "0"),
+        sum(map(str.isupper, s)), sum(map(str.islower, s)), len(set(s)), sum(a.isdigit() != b.isdigit() for a, b in itertools.pairwise(s)),
         *(float(bool(c.search(before))) for c in CUES), float(before[-1:] in "#$€£" and before[-1:] != ""), float(before[-2:] == ": "), float(after[:1] in "%€$°" and after[:1] != ""), float("dot" in s or "." in s),
     ]
 
@@ -133,9 +141,15 @@ def candidates(text: str) -> list[Span]:
             # the pattern needs one of these, so many texts need no scan
             if " at " in text or "[at]" in text or "(at)" in text:
                 out += [(kind, *m.span()) for m in pattern.finditer(text)]
+        elif kind == "secret" and not pattern.groups:
+            if numeric:  # a long word without a digit is no key
+                out += [(kind, *m.span()) for m in pattern.finditer(text) if _HAS_DIGIT(m[0])]
+        elif kind == "secret":
+            if ":" in text or "=" in text:
+                out += [(kind, *m.span(1)) for m in pattern.finditer(text)]
         elif numeric:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return out
+    return list(dict.fromkeys(out))
 
 
 # -- boosted trees ------------------------------------------------------------------
@@ -203,11 +217,20 @@ def compose(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
         s = f"{country}{check:02d}{rest}"
         return s if r.random() < 0.5 else " ".join(s[k : k + 4] for k in range(0, len(s), 4))
 
+    def secret() -> str:
+        mixed = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+        upper, lower, hexadecimal = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+        return r.choice([mixed(upper, 4) + mixed(upper, r.randint(12, 20)), mixed(lower, 2) + "_" + mixed(upper + lower, r.randint(20, 40)), mixed(hexadecimal, r.choice([16, 18, 20, 32, 40, 64])), mixed(upper + lower + "+/", r.randint(24, 64)), mixed(upper + lower, r.randint(10, 18)) + d(2)])
+
+    def plain() -> str:  # long words that are no keys
+        return r.choice(["-".join(word() for _ in range(4)) + f"-{d(2)}", "/".join(word() for _ in range(4)) + f"/{d(4)}", f"{word()}_{word()}_{word()}_{d(1)}", word() + word(), d(r.randint(16, 24)), f"{word()}{word()}{word()}{d(1)}"])
+
     personal = {
         "phone": (["phone: ", "call ", "tel. ", "mobile ", "Telefon ", "fax: "], lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(6)}", f"0{r.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}"])),
-        "email": (["email: ", "contact ", "write to ", "mail ", "reach me: "], lambda: word() + r.choice([" at ", "[at]", " (at) "]) + word() + r.choice([" dot ", "[dot]", " (dot) "]) + r.choice(["com", "org", "net", "de"])),
+        "email": (["email: ", "contact ", "write to ", "mail ", "reach me: "], lambda: word() + r.choice([" at ", "[at]", " (at) "]) + word() + r.choice([" dot ", "[dot]", " (dot) ", "."]) + r.choice(["com", "org", "net", "de"])),
         "national_id": (["SSN ", "social security ", "national id: ", "SSN: "], lambda: f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"),
         "iban": (["IBAN ", "account ", "bank: ", "Konto "], iban),
+        "secret": (["key ", "token = ", "password=", "secret: ", "api_key: ", 'token = "', ""], secret),
         "card": (["card ", "Visa: ", "credit card no. ", "Kreditkarte "], lambda: card(r.choice([" ", "-", ".", "/", " - "]))),
     }
     other = {
@@ -215,6 +238,7 @@ def compose(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
         "email": (["look ", "they meet ", "we were ", "left it ", ""], lambda: f"{word()} at {word()}.{r.choice(['then', 'it', 'so', 'the'])}"),
         "national_id": (["part ", "order ", "serial ", "ref ", "lot ", "isbn ", ""], lambda: f"{d(3)}-{d(2)}-{d(4)}"),
         "iban": (["serial ", "part ", "ref ", "lot ", ""], lambda: "".join(r.choice("ABCDEFGH") for _ in range(2)) + d(18)),
+        "secret": (["file ", "see ", "path ", "the ", "section ", "key: ", "password: ", ""], plain),
         "card": (["serial ", "part ", "order ", "invoice ", ""], lambda: r.choice(" -./").join(d(4) for _ in range(4))),
     }
     out = []
@@ -229,27 +253,45 @@ def compose(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
 
 
 @functools.cache
-def model(seed: int = 7, rows: int = 2500, precision: float = 0.99) -> tuple[Trees, float]:
-    """The trees and the threshold that gives this precision on unseen composed texts."""
+def model(seed: int = 7, rows: int = 4000, precision: float = 0.99) -> tuple[Trees, dict[str, float]]:
+    """The trees, and by kind the threshold that gives this precision on unseen composed texts."""
     shown = compose(rows, seed)
     trees = Trees().fit(np.array([describe(*x[:4]) for x in shown]), np.array([float(x[4]) for x in shown]))
-    p, y = np.array([(trees.probability(describe(*x[:4])), x[4]) for x in compose(rows, seed + 1)]).T
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    passing = np.flatnonzero((right >= precision) & np.append(np.diff(p[order]) < 0, True))
-    return trees, max(0.5, float(p[order][passing[-1]])) if len(passing) else 1.1
-
-
-def find(text: str | None, trees: Trees, threshold: float) -> tuple[list[Span], list[Span]]:
+    unseen = compose(rows, seed + 1)
+    thresholds = {}
+    for kind in KINDS:
+        own = [x for x in unseen if x[0] == kind]
+        p, y = np.array([trees.probability(describe(*x[:4])) for x in own]), np.array([x[4] for x in own], float)
+        order = np.argsort(-p, kind="stable")
+        right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        passing = np.flatnonzero((right >= precision) & np.append(np.diff(p[order]) < 0, True)) if len(own) else []
+        thresholds[kind] = max(0.5, float(p[order][passing[-1]])) if len(passing) else 1.1
+    return trees, thresholds
+
+
+def find(text: str | None, trees: Trees, thresholds: dict[str, float]) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with what the trees add."""
     if not text:
         return [], []
     base = base_spans(text)
-    taken, added = list(base), []
+    added = []
+    # what is taken, as disjoint intervals in order
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end in base:
+        if starts and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     scored = [(trees.probability(describe(k, text, a, b)), k, a, b) for k, a, b in candidates(text)]
     for p, kind, start, end in sorted(scored, key=lambda x: (-x[0], x[2] - x[3], x[2], KINDS.index(x[1]))):
-        if p >= threshold and all(end <= s or start >= e for _, s, e in taken):
-            taken.append((kind, start, end))
+        if p < thresholds[kind]:
+            continue
+        at = bisect.bisect_right(ends, start)
+        if at == len(starts) or starts[at] >= end:
+            starts.insert(at, start)
+            ends.insert(at, end)
             added.append((kind, start, end))
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -268,20 +310,21 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans, and all spans of each row."""
+    """Counts of the base kinds, the digest of the base spans, all spans of each row and how
+    many these are."""
     bounded_batches(df.sparkSession)
-    trees, threshold = model()
+    trees, thresholds = model()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find(t, trees, threshold) for t in batch.column("text").to_pylist()]
+            found = [find(t, trees, thresholds) for t in batch.column("text").to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in _BASE]
             sha = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sha, pa.array([written(s) for _, s in found], pa.string())], [c.split()[0] for c in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sha, pa.array([written(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return id_and_text(df, id_col, text_col).mapInArrow(scan, SCHEMA)
 
@@ -290,13 +333,13 @@ def redact_documents(df: DataFrame, text_col: str = "text", length_col: str | No
     """``df``, all rows and columns, with the spans of its texts redacted and, if it has
     the column, the length in code points renewed."""
     bounded_batches(df.sparkSession)
-    trees, threshold = model()
+    trees, thresholds = model()
     names = df.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = names.index(text_col)
-            texts = [redact(t, find(t, trees, threshold)[1]) for t in batch.column(at).to_pylist()]
+            texts = [redact(t, find(t, trees, thresholds)[1]) for t in batch.column(at).to_pylist()]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             if length_col in names:
                 k = names.index(length_col)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -190,8 +191,14 @@ def test_packing(docs):
     ordered = got.sort_values(["sequence_id", "offset"])
     assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
     sums = got.groupby("sequence_id")["length"].sum()
-    assert sums.max() <= 1024 and len(sums) <= packing.lower_bound(got["length"].to_numpy(), 1024) + 1
+    assert sums.max() <= 1024 and len(sums) <= packing.lower_bound(np.bincount(got["length"].to_numpy(), minlength=1025), 1024) + 1
     assert packing.cut(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)]
+    counted = {i: tokens.slow.encode(t or "", add_special_tokens=False).ids + [2] for i, t in texts(docs)}
+    for r in got.itertuples():
+        key = None if r.doc_id != r.doc_id else int(r.doc_id)
+        own = np.array(counted[key][r.start : r.start + r.length], "<u4")
+        assert (len(own), zlib.crc32(own.tobytes())) == (r.length, r.ids_crc32)
+    assert tokens.fast is not None
     for t in ("<|endoftext|> x", "don't  \n\n y　z", ""):
         assert tokens.ids(t).tolist() == tokens.slow.encode(t, add_special_tokens=False).ids
 
@@ -200,7 +207,7 @@ def test_bounds_never_exceed_optimum():
     r = np.random.default_rng(1)
     for _ in range(200):
         sizes = r.integers(1, 21, r.integers(1, 30))
-        assert packing.lower_bound(sizes, 20) <= len(packing.best_fit(sizes, 20)[2])
+        assert packing.lower_bound(np.bincount(sizes, minlength=21), 20) <= len(packing.best_fit(sizes, 20)[2])
 
 
 def test_suffix_dedup(docs):
@@ -256,6 +263,11 @@ def test_pii(docs):
     assert cut == [("email", "a.b@c.d"), ("email", "x@y.z"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (499) 555-6503")]
     assert set(base) <= set(everything) and any(k == "national_id" for k, _, _ in everything)
     assert "[EMAIL]" in pii.redact(text, everything) and "555-6503" not in pii.redact(text, everything)
+    for s in ("password=7602ad27cf55AA1c", "api_key: Zk93bQx81LmPq02VtRr7"):
+        assert [(k, f"see {s} here"[a:b]) for k, a, b in pii.find(f"see {s} here", *pii.model())[1]] == [("secret", re.split("[=:] ?", s)[1])]
+    assert pii.find("key: unbelievable-handwriting", *pii.model())[1] == []
+    many = "call 555-123-4567 or SSN 123-45-6789 x at y dot com " * 12_000
+    assert len(pii.find(many, *pii.model())[1]) >= 12_000  # sorted intervals: no scan of all that is taken
     assert pii.base_spans("9" * 20000) == [] and pii.find(None, *pii.model()) == ([], [])
     assert pii.detect(docs).count() == docs.count()
 
