@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import jaccard, language, packing, pii, suffix
-from kindred.llm.common import documents, shared_folder
+from kindred.llm.common import delete, documents, shared_folder, until_exit
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; bytes that a 100-byte string covers which starts earlier, too, go.
+    Null and empty texts stay as they are, n_chars is renewed."""
     return suffix.remove_repeats(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; each personal span becomes [KIND], n_chars is renewed."""
     return pii.redact_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece of each document, null texts as empty ones, with its place in a sequence."""
     return packing.pack(docs)
 
 
@@ -51,14 +55,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents``; each stage's result is a table in the folder
-    that the cluster shares."""
+    """The packed pieces of ``documents``. Each stage's result is a table in the folder that the
+    cluster shares; it goes when the next one is written, the last when the driver ends."""
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{base}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        path = f"{base}/{k}-{name}"
+        made.write.parquet(path)
+        if before is None:
+            until_exit(spark, base)
+        else:
+            delete(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return docs
