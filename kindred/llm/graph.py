@@ -14,16 +14,41 @@ from pyspark.sql.types import BooleanType
 from kindred.llm.common import discard, release, stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: So many links of 16 bytes are joined in one task at once; more take rounds of joins.
+FEW = 50_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    there = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(list(map(root, there)), pa.int64())], ["v", "component"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """v and component (the smallest vertex reachable) for the edges (a, b) of longs, as a
-    stored table.
+    stored table. Up to ``few`` edges are joined in one task.
 
-    Each round, each vertex's label becomes the smallest among its neighbours' labels; from
-    the fourth on also its label's own label, so that chains shrink as powers of
+    Else, in each round, each vertex's label becomes the smallest among its neighbours' labels;
+    from the fourth on also its label's own label, so that chains shrink as powers of
     two. Minima are taken before the shuffle, so a vertex of very many edges costs no task
     more than others. Labels only fall, so an unchanged sum ends it."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both.filter("a <> b").distinct())
+    once = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if once.count() <= few:
+        out = stored(once.coalesce(1).mapInArrow(_joined, "v bigint, component bigint"))
+        discard(once)
+        return out
+    both = stored(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    discard(once)
     label = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "v"))
     before = None
     for turn in itertools.count():
@@ -36,9 +61,8 @@ def components(edges: DataFrame) -> DataFrame:
         discard(old)
         now = label.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
         if now == before:
-            discard(both)
-            out = label.withColumnRenamed("c", "component")
-            vars(out)["_stored_at"] = vars(label)["_stored_at"]
+            out = stored(label.withColumnRenamed("c", "component"))
+            discard(both, label)
             return out
         before = now
         if turn % 2:

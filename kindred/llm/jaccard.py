@@ -372,9 +372,9 @@ def _grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
     """id, component once the links (a, b) are known, too, as a stored table; ``known`` goes.
     Only links between different components count, and they are joined as links between these."""
     if known is None:
-        first = components(found)
-        out = first.withColumnRenamed("v", "id")
-        vars(out)["_stored_at"] = vars(first)["_stored_at"]
+        merged = components(found)
+        out = stored(merged.withColumnRenamed("v", "id"))
+        discard(merged)
         return out
     for end in ("a", "b"):
         label = known.select(F.col("id").alias(end), "component")

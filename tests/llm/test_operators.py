@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from kindred.llm import fingerprints, gif, jaccard, language, packing, pieces, pii, sharding, suffix, toxicity
+from kindred.llm import fingerprints, gif, graph, jaccard, language, packing, pieces, pii, sharding, suffix, toxicity
 
 AWKWARD = "doc_id long, text string, lang string, score double, component_id string"
 
@@ -283,6 +283,48 @@ def test_pii_written_out_at(spark):
     assert any(not truth and k == "email" for k, _, _, _, truth in pii.compose(500, 7))
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
+    r = random.Random(11)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (1000, 1001)]
+    parent = {v: v for e in edges for v in e if e[0] != e[1]}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), few).collect()
+    assert {x.v: x.component for x in got} == {v: find(v) for v in parent} and len(got) == len(parent)
+
+
+def test_bloom(spark):
+    members, others = spark.range(5000).selectExpr("xxhash64(id) as h"), spark.range(5000, 25000).selectExpr("xxhash64(id) as h")
+    # the smallest of many hashes crowd at the low end
+    for df in (members, members.selectExpr("shiftrightunsigned(h, 20) as h")):
+        bloom = graph.Bloom.of(df, "h")
+        assert bloom.may_have(df.toPandas()["h"].to_numpy()).all()
+        assert bloom.may_have(others.toPandas()["h"].to_numpy()).mean() < 0.1
+    assert not graph.Bloom.of(members.filter("false"), "h").may_have(np.arange(100)).any()
+
+
+def test_join_without_bloom(spark, docs, monkeypatch):
+    """Tables that are too large for a filter are joined."""
+    keyed = docs.filter("doc_id is not null and doc_id < 204")
+    want = sorted(jaccard.join(keyed, n=5, percent=80).collect())
+    removed = sorted(suffix.remove_repeats_digest(keyed).collect())
+    kept = sorted(x.doc_id for x in jaccard.near_duplicates(keyed).collect())
+    monkeypatch.setattr(graph.Bloom, "LARGEST", 8)
+    assert graph.Bloom.of(keyed, "doc_id") is None
+    assert sorted(jaccard.join(keyed, n=5, percent=80).collect()) == want
+    assert sorted(suffix.remove_repeats_digest(keyed).collect()) == removed
+    assert sorted(x.doc_id for x in jaccard.near_duplicates(keyed).collect()) == kept
+
+
 def plain_components(rows, n, percent):
     import re
 
