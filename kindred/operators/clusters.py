@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 
 def reject_nulls(samples: DataFrame) -> DataFrame:
-    """``samples`` itself; raises if a label is missing."""
-    if not samples.filter("sample is null or rid is null or eid is null").isEmpty():
-        raise ValueError("samples must have no missing labels")
-    return samples
+    """``samples``; whatever reads it fails if a label is missing."""
+    kinds = dict(samples.dtypes)
+    wrong = F.raise_error(F.lit("samples must have no missing labels"))
+    return samples.withColumns({c: F.coalesce(c, wrong.cast(kinds[c])) for c in ("sample", "rid", "eid") if c in kinds})
 
 
 def clusters(samples: DataFrame) -> DataFrame:
     """sample, eid, members: an array in order, as big as a cluster is."""
-    return samples.groupBy("sample", "eid").agg(F.array_sort(F.collect_list("rid")).alias("members"))
+    return reject_nulls(samples).groupBy("sample", "eid").agg(F.array_sort(F.collect_list("rid")).alias("members"))
 
 
 def cluster_frequencies(samples: DataFrame) -> DataFrame:
@@ -75,21 +75,23 @@ def clusters_to_pairs(groups: DataFrame) -> DataFrame:
 
 def coreference_probs(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, prob for the pairs asked for; raises if one names an unknown record."""
+    samples = reject_nulls(samples)
     known = samples.select("rid").distinct()
     asked = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     if not asked.join(known, "rid", "left_anti").isEmpty():
         raise ValueError("pairs name unknown records")
+    samples = samples.join(asked, "rid", "left_semi")
     a = samples.select("sample", F.col("rid").alias("a"), F.col("eid").alias("ea"))
     b = samples.select("sample", F.col("rid").alias("b"), F.col("eid").alias("eb"))
     return pairs.join(a, "a").join(b, ["b", "sample"]).groupBy("a", "b").agg(F.avg((F.col("ea") == F.col("eb")).cast("double")).alias("prob"))
 
 
 def pair_probs(samples: DataFrame) -> DataFrame:
-    """a, b, prob of all pairs that are together in some sample."""
+    """a, b, prob of all pairs that are together in some sample. Pairs are made once for each
+    different cluster, not for each sample that has it."""
     n = samples.agg(F.count_distinct("sample").alias("n_samples"))
-    own = samples.select("sample", "eid", F.col("rid").alias("a"))
-    other = samples.select("sample", "eid", F.col("rid").alias("b"))
-    both = own.join(other, ["sample", "eid"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("freq"))
+    spread = cluster_frequencies(samples).filter(F.size("members") > 1).select("digest", "freq", F.explode("members").alias("a"))
+    both = spread.join(spread.select("digest", F.col("a").alias("b")), "digest").filter("a < b").groupBy("a", "b").agg(F.sum("freq").alias("freq"))
     return both.join(F.broadcast(n)).select("a", "b", (F.col("freq") / F.col("n_samples")).alias("prob"))
 
 

@@ -3,7 +3,9 @@
 ``close_pairs`` joins a dictionary with itself on a distance. For edit distances
 candidates come from segments: of two strings within t edits, one has t + 1 disjoint
 segments of which the other holds one unchanged, shifted by t at most. That is an
-equi-join on (attribute, length, segment, text); each candidate is then verified. Other
+equi-join on (attribute, length, segment, text); each candidate is then verified. Within one
+edit it is simpler: two such strings, or strings less one character, are equal, and a
+prefix that all values share makes no candidates. Other
 distances take a ``blocking`` function, which gives an array of keys of which close
 values share one; without one, the values of an attribute are compared by theta-join.
 """
@@ -32,6 +34,11 @@ def _probes(value: str, t: int) -> Column:
     return F.expr(f"array_distinct(flatten(flatten(transform(sequence(greatest(0, length({value}) - {t}), length({value}) + {t}), n -> transform(sequence(0, {t}), i -> {texts})))))")
 
 
+def _variants(value: str) -> Column:
+    """A string, and the string without each one of its characters."""
+    return F.expr(f"array_distinct(concat(array({value}), transform(filter(sequence(0, length({value})), i -> i > 0), i -> concat(substring({value}, 1, i - 1), substring({value}, i + 1)))))")
+
+
 def close_pairs(dictionary: DataFrame, distance: Distance, exclude: bool = True, blocking: Callable[[Column], Column] | None = None) -> DataFrame:
     """aid, e_vid, r_vid, dist of the pairs whose distance isn't null; ``exclude`` leaves
     out a value's distance to itself."""
@@ -39,8 +46,8 @@ def close_pairs(dictionary: DataFrame, distance: Distance, exclude: bool = True,
     t = getattr(distance, "edit_threshold", None)
     e, r = d.select("aid", F.col("vid").alias("e_vid"), F.col("value").alias("y")), d.select("aid", F.col("vid").alias("r_vid"), F.col("value").alias("x"))
     if t is not None or blocking is not None:
-        own = e.select("*", F.explode(_segments("y", t) if t is not None else blocking(F.col("y"))).alias("key"))
-        probe = r.select("*", F.explode(_probes("x", t) if t is not None else blocking(F.col("x"))).alias("key"))
+        own = e.select("*", F.explode(blocking(F.col("y")) if t is None else _variants("y") if t == 1 else _segments("y", t)).alias("key"))
+        probe = r.select("*", F.explode(blocking(F.col("x")) if t is None else _variants("x") if t == 1 else _probes("x", t)).alias("key"))
         pairs = own.join(probe, ["aid", "key"]).select("aid", "e_vid", "r_vid", "y", "x").distinct()
     else:
         pairs = e.join(r, "aid")

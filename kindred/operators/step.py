@@ -26,15 +26,24 @@ def observed(record_values: DataFrame, distortions: DataFrame, attributes: DataF
 def candidates(record_values: DataFrame, distortions: DataFrame, entities: DataFrame, close: DataFrame, attributes: DataFrame) -> DataFrame:
     """rid, eid: the entities that a record may link to. Each undistorted value must be the
     entity's; each distorted one of an attribute with a distance must be close to it. A record
-    that nothing constrains may link to all entities."""
+    that nothing constrains may link to all entities.
+
+    Each record starts from the entities that its rarest attribute allows; only these are held
+    against the others, so a frequent value makes no pairs where a rarer one is there."""
     seen = observed(record_values, distortions, attributes)
-    binding = seen.filter("not z or not constant")
-    same = binding.filter("not z").join(entities, ["aid", "vid"]).select("rid", "eid", "aid")
-    near = binding.filter("z").join(close.select("aid", F.col("r_vid").alias("vid"), "e_vid"), ["aid", "vid"])
-    near = near.join(entities.withColumnRenamed("vid", "e_vid"), ["aid", "e_vid"]).select("rid", "eid", "aid")
-    need = binding.groupBy("rid").agg(F.count("*").alias("need"))
-    met = same.unionByName(near).distinct().groupBy("rid", "eid").agg(F.count("*").alias("met"))
-    bound = met.join(need, "rid").filter("met = need").select("rid", "eid")
+    binding = seen.filter("not z or not constant").select("rid", "aid", "vid", "z")
+    same = binding.filter("not z").select("rid", "aid", F.col("vid").alias("e_vid"))
+    near = binding.filter("z").join(close.select("aid", F.col("r_vid").alias("vid"), "e_vid"), ["aid", "vid"]).select("rid", "aid", "e_vid")
+    allowed = same.unionByName(near)
+    of = entities.withColumnRenamed("vid", "e_vid")
+    often = of.groupBy("aid", "e_vid").agg(F.count("*").alias("n"))
+    cost = allowed.join(often, ["aid", "e_vid"]).groupBy("rid", "aid").agg(F.sum("n").alias("cost"))
+    # an attribute that allows no entity is the rarest of all
+    rarest = binding.select("rid", "aid").join(cost, ["rid", "aid"], "left").groupBy("rid").agg(F.min_by("aid", F.struct(F.coalesce("cost", F.lit(0)), "aid")).alias("aid"), F.count("*").alias("need"))
+    first = allowed.join(rarest, ["rid", "aid"]).join(of, ["aid", "e_vid"]).select("rid", "eid", "need")
+    met = first.join(of, "eid").join(allowed, ["rid", "aid", "e_vid"], "left_semi").groupBy("rid", "eid").agg(F.count("*").alias("met"), F.first("need").alias("need"))
+    bound = met.filter("met = need").select("rid", "eid")
+    need = rarest.select("rid")
     free = record_values.select("rid").distinct().join(need, "rid", "left_anti")
     return bound.unionByName(free.join(entities.select("eid").distinct()))
 

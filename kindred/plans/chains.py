@@ -34,6 +34,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
             import tempfile
 
             path = tempfile.mkdtemp(prefix="kindred-chains-")
@@ -42,22 +44,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def specification(model: Model) -> Spec:
-    """The model's encoded tables as arrays. They have to fit the task that runs a chain
-    whole, so they are gathered once, as columns."""
-    values = model.record_values.toPandas()
-    n, k = int(values["rid"].max()) + 1, len(model.attributes)
+    """The model's encoded tables as arrays, its start included."""
+    attributes = list(model.attributes.values())
+    spec = arrays(model.record_values, model.domain, model.phi, model.close, attributes, model.prior, model.initial_prior)
+    start = model.entities.toPandas()
+    spec.start = spec.x.copy()
+    spec.start[start["eid"], start["aid"]] = start["vid"].astype(int)
+    return spec
+
+
+def arrays(record_values: DataFrame, domain: DataFrame, phi: DataFrame, close: DataFrame, attributes: list, prior, initial_prior) -> Spec:
+    """Encoded tables as arrays. They have to fit the task that runs a chain whole, so they
+    are gathered once, as columns."""
+    values = record_values.toPandas()
+    n, k = int(values["rid"].max()) + 1, len(attributes)
     x, file = np.full((n, k), -1, np.int64), np.zeros(n, np.int64)
     there = values[values["vid"].notna()]
     x[there["rid"], there["aid"]] = there["vid"].astype(int)
     file[values["rid"]] = values["fid"].astype(int)
-    domain = model.domain.join(model.phi.select("aid", "vid", "phi"), ["aid", "vid"]).orderBy("aid", "vid").toPandas()
-    close = model.close.select("aid", "e_vid", "r_vid", "p").orderBy("aid", "e_vid", "r_vid").toPandas()
-    attributes = list(model.attributes.values())
-    emp, factor, phi, edges, alpha = [], [], [], [], []
+    domain = domain.join(phi.select("aid", "vid", "phi"), ["aid", "vid"]).orderBy("aid", "vid").toPandas()
+    close = close.select("aid", "e_vid", "r_vid", "p").orderBy("aid", "e_vid", "r_vid").toPandas()
+    emp, factor, start_phi, edges, alpha = [], [], [], [], []
     for a, attribute in enumerate(attributes):
         own, pairs = domain[domain["aid"] == a], close[close["aid"] == a]
         emp.append(own["emp_prob"].to_numpy(float))
-        phi.append(own["phi"].to_numpy(float))
+        start_phi.append(own["phi"].to_numpy(float))
         factor.append(own["max_exp_factor"].to_numpy(float))
         edges.append(None if attribute.constant else (pairs["e_vid"].to_numpy(int), pairs["r_vid"].to_numpy(int), pairs["p"].to_numpy(float)))
         d = attribute.entity_dist
@@ -66,8 +77,10 @@ def specification(model: Model) -> Spec:
         elif isinstance(d.alpha, dict):
             alpha.append(np.array([d.alpha[v] for v in own["value"]]))
         else:
+            if isinstance(d.alpha, tuple) and len(d.alpha) != len(own):
+                raise ValueError("a Dirichlet prior needs as many parameters as its attribute has values")
             alpha.append(np.array(d.alpha) if isinstance(d.alpha, tuple) else np.full(len(own), float(d.alpha)))
-    return Spec(x, file, int(file.max()) + 1, emp, edges, factor, [t.exclude_entity_value for t in attributes], [t.distort_prob for t in attributes], [t.distort_dist.alpha for t in attributes], phi, alpha, model.prior, model.initial_prior)
+    return Spec(x, file, int(file.max()) + 1, emp, edges, factor, [t.exclude_entity_value for t in attributes], [t.distort_prob for t in attributes], [t.distort_dist.alpha for t in attributes], start_phi, alpha, prior, initial_prior)
 
 
 @dataclass
@@ -108,6 +121,14 @@ class Fit:
         """sample, rid, eid over all chains, for the posterior summaries."""
         return self.table("links").select((F.col("chain") * F.lit(1 << 24) + F.col("sample")).alias("sample"), "rid", "eid")
 
+    def labelled(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` with the records' own ids in place of rid in the ``columns``."""
+        ids = self.model.records.select("rid", "rec_id")
+        for c in columns or ("rid",):
+            names = rows.columns
+            rows = rows.join(ids.withColumnRenamed("rid", c), c).drop(c).withColumnRenamed("rec_id", c).select(*names)
+        return rows
+
     def summary(self) -> DataFrame:
         """Number of samples and effective sample size of each scalar of the history."""
         from kindred.operators.clusters import effective_sample_size

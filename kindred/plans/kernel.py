@@ -35,6 +35,7 @@ class Spec:
     phi_alpha: list[np.ndarray | None]
     prior: object
     initial_prior: object
+    start: np.ndarray | None = None  # entity values at the start; None: drawn here
 
 
 class Chain:
@@ -44,7 +45,7 @@ class Chain:
         rng = self.rng("start")
         self.link = np.arange(n)
         self.members: dict[int, set[int]] = {r: {r} for r in range(n)}
-        self.value = {r: spec.x[r].copy() for r in range(n)}
+        self.value = {r: (spec.x if spec.start is None else spec.start)[r].copy() for r in range(n)}
         for v in self.value.values():
             for a in np.flatnonzero(v < 0):
                 v[a] = self.pick(spec.emp[a], rng)
@@ -75,6 +76,45 @@ class Chain:
             for a, x in enumerate(v.tolist()):
                 self.by_value[a].setdefault(x, set()).add(e)
 
+    @classmethod
+    def at(cls, spec: Spec, link: dict[int, int], value: dict[int, np.ndarray], z: np.ndarray, theta: np.ndarray, b: list[float], clustering) -> Chain:
+        """A chain in a given state. Records without a link take no part."""
+        chain = cls(spec, 0, 0)
+        chain.link = np.array([link.get(r, -1) for r in range(len(spec.x))])
+        chain.members = {}
+        for r, e in link.items():
+            chain.members.setdefault(e, set()).add(r)
+        chain.value = {e: np.array(value[e]) for e in chain.members}
+        chain.z, chain.theta, chain.b, chain.clustering = z, theta, list(b), clustering
+        chain.norm = [float((f / (1 - e)).sum()) for f, e in zip(chain.phi, spec.emp, strict=True)]
+        chain._prepare()
+        return chain
+
+    def weighed(self, what: str) -> list[tuple[int, int, int, float]]:
+        """The weights that the next stages would draw by, those of 0 left out: ``links`` as (record,
+        entity, -1, log-weight), ``new`` as (record, -1, -1, log-weight), ``entities`` as
+        (entity, attribute, value, log-weight)."""
+        out = []
+        if what == "entities":
+            for e in self.members:
+                for a in range(len(self.s.emp)):
+                    for v, w in zip(*(self.entity_logweights(e, a) or ((), ())), strict=True):
+                        out.append((e, a, int(v), float(w)))
+        for r in np.flatnonzero(self.link >= 0).tolist() if what in ("links", "new") else ():
+            e = int(self.link[r])
+            held = self.value[e]
+            self.detach(r)
+            if what == "new":
+                out.append((r, -1, -1, self.new_logweight(r)))
+            else:
+                out += [(r, o, -1, self.link_logweight(r, o)) for o in self.candidates(r)]
+            if e not in self.members:
+                self.members[e], self.value[e] = set(), held
+                for a, x in enumerate(held.tolist()):
+                    self.by_value[a].setdefault(x, set()).add(e)
+            self.members[e].add(r)
+        return [row for row in out if math.isfinite(row[3])]
+
     def rng(self, stage: str) -> np.random.Generator:
         """One stream for each seed, chain, iteration and stage, so a resumed chain goes on as
         an uninterrupted one does."""

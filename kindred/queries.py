@@ -15,10 +15,10 @@ from kindred.operators import clusters as C
 from kindred.operators import encoding as E
 from kindred.operators import similarity as S
 from kindred.operators import step
-from kindred.plans.chains import run_inference
-from kindred.plans.kernel import kept
+from kindred.plans.chains import arrays, run_inference
+from kindred.plans.kernel import Chain, kept
 from kindred.plans.model import CategoricalAttribute, build_model, impute
-from kindred.sources.fixtures import INDEX_SQL, SAMPLES_SQL, STATE_SQL, part_attributes, part_records, samples, state, table
+from kindred.sources.fixtures import INDEX_IN_SQL, INDEX_SQL, SAMPLES_SQL, STATE_IN_SQL, STATE_SQL, part_attributes, part_records, samples, state, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,14 +118,8 @@ def distance_ranges(spark, sf):
     return state(spark, sf)["domain"].select("aid", "vid", "min_dist", "max_dist", r9("max_exp_factor", "max_exp_factor"))
 
 
-@query("WITH d AS (SELECT DISTINCT c_name AS v FROM customer WHERE c_custkey % 10 = 0) SELECT a.v AS y, b.v AS x, levenshtein(a.v, b.v) * 0.5::DOUBLE AS dist FROM d a, d b WHERE levenshtein(a.v, b.v) * 0.5 <= 0.5 AND a.v <> b.v")
+@query("WITH d AS (SELECT DISTINCT c_name AS v FROM customer) SELECT a.v AS y, b.v AS x, levenshtein(a.v, b.v) * 0.5::DOUBLE AS dist FROM d a, d b WHERE levenshtein(a.v, b.v) * 0.5 <= 0.5 AND a.v <> b.v")
 def scaled_threshold(spark, sf):
-    """Over a tenth of the customers, as its SQL says; scaled_threshold_whole has all."""
-    return _scaled_threshold(table(spark, sf, "customer").filter("c_custkey % 10 = 0"))
-
-
-@query()
-def scaled_threshold_whole(spark, sf):
     return _scaled_threshold(table(spark, sf, "customer"))
 
 
@@ -191,7 +185,10 @@ _P = "CASE WHEN s.constant THEN CASE WHEN e.vid = s.vid THEN 0 ELSE dr.emp / (1
     " SELECT cs.rid, cs.eid, round(ln(abs(cs.others - 0.3::DOUBLE)) + coalesce(t.s, 0), 6) AS logw FROM cs LEFT JOIN t ON t.rid = cs.rid AND t.eid = cs.eid WHERE cs.others > 0 AND coalesce(t.least, 1) > 0"
 )
 def link_weights(spark, sf):
-    s = state(spark, sf)
+    return _link_weights(state(spark, sf))
+
+
+def _link_weights(s):
     out = step.link_weights(s["record_values"], s["links"], s["distortions"], s["entities"], s["close"], s["domain"], s["attributes"], PitmanYor(1.0, 0.3).existing)
     return out.select("rid", "eid", F.round("logw", 6).alias("logw"))
 
@@ -204,9 +201,12 @@ def link_weights(spark, sf):
     " SELECT l.rid, round(ln(1 + 0.3::DOUBLE * (k.k - CASE WHEN z.size = 1 THEN 1 ELSE 0 END)) + sum(ln(w.w)), 6) AS logw FROM lk l JOIN z ON z.eid = l.eid JOIN w ON w.rid = l.rid, k GROUP BY l.rid, k.k, z.size HAVING min(w.w) > 0"
 )
 def new_entity_weights(spark, sf):
-    s = state(spark, sf)
+    return _new_entity_weights(state(spark, sf))
+
+
+def _new_entity_weights(s, exclude=True):
     close = S.expected_distortion(s["close"], s["phi"]).select("aid", F.col("r_vid").alias("vid"), "expected")
-    expected = S.constant_expected(s["phi"].filter("aid < 2")).unionByName(close)
+    expected = S.constant_expected(s["phi"].filter("aid < 2"), exclude).unionByName(close)
     out = step.new_entity_weights(s["record_values"], s["links"], s["distortions"], s["phi"], expected, s["attributes"], PitmanYor(1.0, 0.3).new)
     return out.select("rid", F.round("logw", 6).alias("logw"))
 
@@ -222,8 +222,8 @@ _ENTITY = (
 )
 
 
-def _entity_weights(spark, sf):
-    s = state(spark, sf)
+def _entity_weights(spark, sf, exclude=True):
+    s = state(spark, sf, exclude)
     return step.entity_weights(s["record_values"], s["links"], s["close"], s["domain"], s["phi"], s["attributes"], s["theta"])
 
 
@@ -242,11 +242,111 @@ _PROB = "CASE WHEN rv.vid IS NULL THEN th.theta WHEN rv.vid <> ent.vid THEN 1 EL
 
 @query(f"WITH {STATE_SQL}, pr AS (SELECT rv.rid, rv.aid, {_PROB} AS prob FROM rv JOIN lk ON lk.rid = rv.rid JOIN ent ON ent.eid = lk.eid AND ent.aid = rv.aid JOIN th ON th.fid = rv.fid AND th.aid = rv.aid) SELECT rid, aid, round(prob, 9) AS prob, {uniform_sql('3', chr(39) + 'z' + chr(39), 'rid', 'aid')} < prob AS z FROM pr")
 def distortion_draws(spark, sf):
-    s = state(spark, sf)
+    return _distortion_draws(state(spark, sf))
+
+
+def _distortion_draws(s):
     out = step.distortion_draws(s["record_values"], s["links"], s["entities"], s["close"], s["domain"], s["attributes"], s["theta"], 3)
     return out.select("rid", "aid", r9("prob", "prob"), "z")
 
 
+# -- where an entity's own value counts as one it may be distorted to ------------------------
+def _included(sql: str) -> str:
+    """The SQL of a query, for ``state(..., exclude=False)``."""
+    changes = [
+        (STATE_SQL, STATE_IN_SQL),
+        (INDEX_SQL, INDEX_IN_SQL),
+        ("CASE WHEN e.vid = s.vid THEN 0 ELSE dr.emp / (1 - de.emp) END", "dr.emp"),
+        ("CASE WHEN u.vid = k.vid THEN 0 ELSE dr.emp / (1 - de.emp) END", "dr.emp"),
+        ("CASE WHEN e_vid = r_vid THEN 1 - q ELSE", "CASE WHEN e_vid = r_vid THEN 1 - q + q * p ELSE"),
+        ("norm * emp - emp * emp / (1 - emp)", "emp"),
+        ("e.vid AS e_vid, r.vid AS r_vid, round(CASE WHEN e.vid = r.vid THEN 0 ELSE r.emp / (1 - e.emp) END, 9)", "e.vid AS e_vid, r.vid AS r_vid, round(r.emp, 9)"),
+    ]
+    for old, new in changes:
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(_included(ORACLE_SQL["close_values"]))
+def close_values_included(spark, sf):
+    return state(spark, sf, False)["close"].select("aid", "e_vid", "r_vid", "dist", r9("p", "p"))
+
+
+@query(_included(ORACLE_SQL["distance_ranges"]))
+def distance_ranges_included(spark, sf):
+    return state(spark, sf, False)["domain"].select("aid", "vid", "min_dist", "max_dist", r9("max_exp_factor", "max_exp_factor"))
+
+
+@query(_included(ORACLE_SQL["constant_expected"]))
+def constant_expected_included(spark, sf):
+    return S.constant_expected(state(spark, sf, False)["phi"].filter("aid < 2"), False).select("aid", "vid", r9("expected", "expected"))
+
+
+@query(_included(ORACLE_SQL["link_weights"]))
+def link_weights_included(spark, sf):
+    return _link_weights(state(spark, sf, False))
+
+
+@query(_included(ORACLE_SQL["new_entity_weights"]))
+def new_entity_weights_included(spark, sf):
+    return _new_entity_weights(state(spark, sf, False), False)
+
+
+@query(_included(ORACLE_SQL["entity_weights"]))
+def entity_weights_included(spark, sf):
+    return _entity_weights(spark, sf, False).select("eid", "aid", "vid", F.round("logw", 6).alias("logw"))
+
+
+_PROB_IN = "CASE WHEN rv.vid IS NULL THEN th.theta WHEN rv.vid <> ent.vid THEN 1 ELSE th.theta * b.p / (th.theta * b.p + 1 - th.theta) END"
+
+
+@query(
+    f"WITH {STATE_IN_SQL}, own AS (SELECT d.aid, d.vid, CASE WHEN a.constant THEN d.emp ELSE coalesce(cl.p, 0) END AS p FROM dom d JOIN attr a ON a.aid = d.aid LEFT JOIN cl ON cl.aid = d.aid AND cl.e_vid = d.vid AND cl.r_vid = d.vid)"
+    f", pr AS (SELECT rv.rid, rv.aid, {_PROB_IN} AS prob FROM rv JOIN lk ON lk.rid = rv.rid JOIN ent ON ent.eid = lk.eid AND ent.aid = rv.aid JOIN th ON th.fid = rv.fid AND th.aid = rv.aid LEFT JOIN own b ON b.aid = rv.aid AND b.vid = rv.vid)"
+    f" SELECT rid, aid, round(prob, 9) AS prob, {uniform_sql('3', chr(39) + 'z' + chr(39), 'rid', 'aid')} < prob AS z FROM pr"
+)
+def distortion_draws_included(spark, sf):
+    return _distortion_draws(state(spark, sf, False))
+
+
+# -- the same weights from the kernel that runs the chains -----------------------------------
+def _kernel_weights(spark, sf, what: str, columns: str, exclude: bool = True):
+    """The fixed state goes to a task as arrays, as a chain's does, and the kernel weighs it."""
+    s = state(spark, sf, exclude)
+    prior = PitmanYor(1.0, 0.3)
+    spec = arrays(s["record_values"], s["domain"], s["phi"], s["close"], list(part_attributes(exclude).values()), prior, prior)
+    link = dict(s["links"].toPandas()[["rid", "eid"]].to_numpy().tolist())
+    held = s["entities"].toPandas().pivot(index="eid", columns="aid", values="vid")
+    value = dict(zip(held.index.tolist(), held.to_numpy(int), strict=True))
+    z = spec.x < -1
+    for r in s["distortions"].filter("z").toPandas().itertuples():
+        z[r.rid, r.aid] = True
+    theta = s["theta"].toPandas().pivot(index="fid", columns="aid", values="theta").to_numpy(float)
+    b = [math.inf if r.b is None else r.b for r in s["attributes"].orderBy("aid").collect()]
+    sent = spark.sparkContext.broadcast((spec, link, value, z, theta, b, prior))
+
+    def weigh(batches):
+        import pandas as pd
+
+        for batch in batches:
+            if len(batch):
+                rows = pd.DataFrame(Chain.at(*sent.value).weighed(what), columns=["k0", "k1", "k2", "logw"])
+                names = [c.split()[0] for c in columns.split(", ")]
+                yield rows[["k0", "k1", "k2"][: len(names) - 1] + ["logw"]].set_axis(names, axis=1)
+
+    return spark.range(1, numPartitions=1).mapInPandas(weigh, columns).withColumn("logw", F.round("logw", 6))
+
+
+for _exclude, _suffix in ((True, ""), (False, "_included")):
+    for _what, _sql, _columns in (("links", "link_weights", "rid bigint, eid bigint, logw double"), ("new", "new_entity_weights", "rid bigint, logw double"), ("entities", "entity_weights", "eid bigint, aid int, vid int, logw double")):
+
+        def _weights(spark, sf, what=_what, columns=_columns, exclude=_exclude):
+            return _kernel_weights(spark, sf, what, columns, exclude)
+
+        QUERIES[f"kernel_{_sql}{_suffix}"] = _weights
+        ORACLE_SQL[f"kernel_{_sql}{_suffix}"] = ORACLE_SQL[f"{_sql}{_suffix}"]
+
+
 _ALT = (
     ", al AS (SELECT rv.rid, rv.fid, rv.aid, CASE WHEN attr.constant OR rng.factor = 1 THEN 1 ELSE rng.factor * (1 - th.theta) / (rng.factor * (1 - th.theta) + 1 - rng.factor) END AS prob FROM rv JOIN dis ON dis.rid = rv.rid AND dis.aid = rv.aid AND NOT dis.z JOIN lk ON lk.rid = rv.rid JOIN ent ON ent.eid = lk.eid AND ent.aid = rv.aid"
     " JOIN rng ON rng.aid = rv.aid AND rng.vid = ent.vid JOIN attr ON attr.aid = rv.aid JOIN th ON th.fid = rv.fid AND th.aid = rv.aid)"

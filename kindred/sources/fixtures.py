@@ -30,8 +30,8 @@ def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("rec_id"), (F.col("p_partkey") % 2).alias("file"), "p_type", F.col("p_size").cast("string").alias("p_size"), F.when(F.col("p_partkey") % 17 != 0, F.col("p_brand")).alias("p_brand"), "p_name")
 
 
-def part_attributes() -> dict[str, Attribute]:
-    return {name: CategoricalAttribute() if t is None else Attribute(distance=levenshtein(t)) for name, _, t, _ in ATTRIBUTES}
+def part_attributes(exclude: bool = True) -> dict[str, Attribute]:
+    return {name: CategoricalAttribute(exclude_entity_value=exclude) if t is None else Attribute(distance=levenshtein(t), exclude_entity_value=exclude) for name, _, t, _ in ATTRIBUTES}
 
 
 def samples(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
@@ -68,7 +68,13 @@ STATE_SQL = (
 )
 
 
-def state(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+#: The same where an entity's own value counts as one it may be distorted to. A finite
+#: concentration needs that it doesn't, so there is none.
+INDEX_IN_SQL = INDEX_SQL.replace(" AND e.vid <> r.vid", "")
+STATE_IN_SQL = STATE_SQL.replace(INDEX_SQL, INDEX_IN_SQL).replace(_ROWS, _ROWS.replace("5.0::DOUBLE", "NULL::DOUBLE").replace("3.0::DOUBLE", "NULL::DOUBLE"))
+
+
+def state(spark: SparkSession, sf_dir: str, exclude: bool = True) -> dict[str, DataFrame]:
     """The index of the part records and a fixed chain state, as tables by name."""
     from kindred.operators import encoding
     from kindred.plans.model import build_index
@@ -77,8 +83,8 @@ def state(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     dictionary = encoding.domain(long)
     files = encoding.file_ids(long)
     values = encoding.encode(long, dictionary).join(F.broadcast(files), "file").select(F.col("rec_id").alias("rid"), "fid", "aid", "vid")
-    domain, close = build_index(dictionary, part_attributes())
-    attributes = spark.createDataFrame([(k, t is None, True, b) for k, (_, _, t, b) in enumerate(ATTRIBUTES)], "aid int, constant boolean, exclude boolean, b double")
+    domain, close = build_index(dictionary, part_attributes(exclude))
+    attributes = spark.createDataFrame([(k, t is None, exclude, b if exclude else None) for k, (_, _, t, b) in enumerate(ATTRIBUTES)], "aid int, constant boolean, exclude boolean, b double")
     links = values.select("rid", F.floor(F.col("rid") / 2).cast("bigint").alias("eid")).distinct()
     first = F.min_by("vid", F.when(F.col("vid").isNotNull(), F.col("rid")))
     entities = values.join(links, "rid").groupBy("eid", "aid").agg(F.coalesce(first, F.lit(0)).alias("vid"))

@@ -8,7 +8,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["attr_domain", "record_values", "impute_missing", "close_values", "distance_ranges", "scaled_threshold", "constant_expected", "candidates", "link_weights", "new_entity_weights", "entity_draws", "distortion_draws", "corrected_counts", "mp_clusters", "smp_clusters", "coreference_probs", "evaluate_pairs", "effective_sample_size", "densities", "seating_weights", "initial_state"]
+QUICK = ["attr_domain", "close_values_included", "distance_ranges_included", "constant_expected_included", "link_weights_included", "new_entity_weights_included", "entity_weights_included", "distortion_draws_included", "kernel_link_weights", "kernel_new_entity_weights", "kernel_entity_weights", "kernel_link_weights_included", "kernel_new_entity_weights_included", "kernel_entity_weights_included", "pair_probs", "record_values", "impute_missing", "close_values", "distance_ranges", "scaled_threshold", "constant_expected", "candidates", "link_weights", "new_entity_weights", "entity_draws", "distortion_draws", "corrected_counts", "mp_clusters", "smp_clusters", "coreference_probs", "evaluate_pairs", "effective_sample_size", "densities", "seating_weights", "initial_state"]
 
 
 def plain(rows):
@@ -49,14 +49,3 @@ def test_chains_cover_all_parts(spark):
 
     parts = {str(r[0]) for r in queries.part_records(spark, SF).select("rec_id").collect()}
     assert {m for r in queries.flagship(spark, SF).collect() for m in r.members.split(",")} == parts
-
-
-def test_scaled_threshold_whole(spark):
-    from kindred import queries
-
-    names = {r[0] for r in queries.table(spark, SF, "customer").select("c_name").collect()}
-    # the names are of one length, so a distance of 1 is one differing character
-    assert len({len(n) for n in names}) == 1
-    want = {(y, x, 0.5) for y in names for x in names if sum(a != b for a, b in zip(y, x, strict=True)) == 1}
-    got = [tuple(r) for r in queries.scaled_threshold_whole(spark, SF).select("y", "x", "dist").collect()]
-    assert len(got) == len(want) and set(got) == want
