@@ -8,13 +8,16 @@ extensions by binary search.
 A fingerprint is the hash of the whole text, its length and the 64 smallest distinct
 hashes of its 16-character spans, all read off the prefix arrays. Likeness of two
 fingerprints is 1 for equal ones and otherwise the bottom-64 estimate of the Jaccard
-similarity of the two sets of spans. Texts under 16 characters have one span, the
+similarity of the two sets of spans. How far a text and its edit, or its successor, agree from
+their starts is their longest common extension, searched for on the prefix arrays; of an edited
+text only the spans beyond it are hashed. Texts under 16 characters have one span, the
 whole. Null counts as empty. Equal texts have equal fingerprints.
 
 ``fingerprint_chain`` also compares each row with its successor in descending order of
 the key. Rows are dealt once, to ranges of keys; a range's last row finds the first
 row of the next range as a copy that was sent along, so a text is shuffled once and
-no task sees more than its range. Null keys come last and repeated keys are in order
+no task sees more than its range. There are at most ``most_ranges``; beyond, ranges
+hold more rows, which pass through a task one at a time. Null keys come last and repeated keys are in order
 of their texts, equal rows being interchangeable.
 """
 
@@ -56,24 +59,29 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(10, int(n).bit_length()))[:n]
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & P) + (x >> np.uint64(31))
+
+
 class Prefixes:
-    """Prefix arrays of one text under one base, or under both for equality."""
+    """Prefix arrays of one text under both bases. The sums aren't reduced (2^29 terms of under
+    2^32 fit), so differences need no sign."""
 
-    def __init__(self, points: np.ndarray, bases: tuple[int, ...] = BASES):
-        self.n, self.points, self.sums, self.inverse = len(points), points, [], []
+    def __init__(self, points: np.ndarray):
+        self.n, self.points, self.sums = len(points), points, []
         c = points.astype(np.uint64) + np.uint64(1)
-        for base in bases:
-            terms = _mod(c * powers(base, self.n))
-            # sums of under 2^31 terms of under 2^31 each fit in 62 bits
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), _mod(np.cumsum(terms, dtype=np.uint64))]))
-            self.inverse.append(powers(pow(base, -1, int(P)), self.n + 1))
+        for base in BASES:
+            sums = np.empty(self.n + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(_fold(c * powers(base, self.n)), out=sums[1:])
+            self.sums.append(sums)
 
     @classmethod
     def of(cls, text: str) -> Prefixes:
         return cls(code_points(text))
 
     def span(self, i: int, j: int) -> tuple[int, ...]:
-        return tuple((int(s[j]) - int(s[i])) % int(P) * int(v[i]) % int(P) for s, v in zip(self.sums, self.inverse, strict=True))
+        return tuple((int(s[j]) - int(s[i])) * pow(base, -i, int(P)) % int(P) for s, base in zip(self.sums, BASES, strict=True))
 
     def equal(self, i: int, other: Prefixes, k: int, length: int) -> bool:
         if i + length > self.n or k + length > other.n:
@@ -88,29 +96,13 @@ class Prefixes:
             low, high = (mid, high) if self.equal(i, other, k, mid) else (low, mid - 1)
         return low
 
-    def spans(self, length: int) -> np.ndarray:
-        """Hashes, under the first base, of all spans of this length."""
-        return span_hashes(self.points, length)
-
-
-def _fold(x: np.ndarray) -> np.ndarray:
-    return (x & P) + (x >> np.uint64(31))
-
-
-def span_hashes(points: np.ndarray, length: int) -> np.ndarray:
-    """Hashes under the first base of all spans of this length, off one prefix array.
-    The sums aren't reduced (2^29 terms of under 2^32 fit), so differences need no sign."""
-    n = len(points)
-    terms = _fold((points.astype(np.uint64) + np.uint64(1)) * powers(BASES[0], n))
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(terms, out=sums[1:])
-    return _mod(_fold(sums[length:] - sums[: n - length + 1]) * powers(INVERSE, n - length + 1))
+    def spans(self, length: int, start: int = 0) -> np.ndarray:
+        """Hashes, under the first base, of all spans of this length from ``start`` on."""
+        ends = self.sums[0][start + length :]
+        return _mod(_fold(ends - self.sums[0][start : self.n - length + 1]) * powers(INVERSE, self.n - length + 1)[start:])
 
-
-def whole_hashes(points: np.ndarray) -> list[int]:
-    c = points.astype(np.uint64) + np.uint64(1)
-    return [int(_fold(c * powers(base, len(c))).sum()) % int(P) for base in BASES]
+    def whole(self) -> list[int]:
+        return [int(s[-1]) % int(P) for s in self.sums]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -125,37 +117,41 @@ def _smallest(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h)[:n]
 
 
-def _written(points: np.ndarray, spans: np.ndarray) -> tuple[str, np.ndarray]:
-    kept = _smallest(spans, KEPT)
-    whole = whole_hashes(points)
-    return f"{len(points):x}:{whole[0]:08x}{whole[1]:08x}:" + kept.astype(">u4").tobytes().hex(), kept
+def _spans(of: Prefixes, start: int = 0) -> np.ndarray:
+    # multiplying by a constant deals the hashes evenly
+    return _mod(of.spans(min(SPAN, of.n), start) * np.uint64(0x5BD1E995 % int(P)))
 
 
-def _spans(points: np.ndarray) -> np.ndarray:
-    # multiplying by a constant deals the hashes evenly
-    return _mod(span_hashes(points, min(SPAN, len(points))) * np.uint64(0x5BD1E995 % int(P)))
+def _written(of: Prefixes, spans: np.ndarray) -> tuple[str, np.ndarray]:
+    if not of.n:
+        return "0:0:", np.empty(0, np.uint64)
+    kept, whole = _smallest(spans, KEPT), of.whole()
+    return f"{of.n:x}:{whole[0]:08x}{whole[1]:08x}:" + kept.astype(">u4").tobytes().hex(), kept
 
 
 def fingerprint(points: np.ndarray) -> tuple[str, np.ndarray]:
     """The fingerprint and, to compare it, its span hashes."""
-    return _written(points, _spans(points)) if len(points) else ("0:0:", np.empty(0, np.uint64))
+    of = Prefixes(points)
+    return _written(of, _spans(of) if of.n else np.empty(0, np.uint64))
 
 
-def fingerprint_and_spans(points: np.ndarray) -> tuple[tuple[str, np.ndarray], np.ndarray]:
-    if not len(points):
-        return fingerprint(points), np.empty(0, np.uint64)
-    spans = _spans(points)
-    return _written(points, spans), spans
+class Fingerprinted:
+    """A text's prefix arrays, span hashes and fingerprint."""
 
+    def __init__(self, points: np.ndarray):
+        self.of = Prefixes(points)
+        self.spans = _spans(self.of) if self.of.n else np.empty(0, np.uint64)
+        self.mark = _written(self.of, self.spans)
 
-def fingerprint_of_edit(points: np.ndarray, spans: np.ndarray, changed: np.ndarray, same: int) -> tuple[str, np.ndarray]:
-    """The fingerprint of ``changed``, which has its first ``same`` characters in common
-    with ``points``: spans that lie in those hash as before."""
-    if min(len(points), len(changed)) < SPAN or same < SPAN:
-        return fingerprint(changed)
-    kept = same - SPAN + 1
-    rest = changed[kept:]
-    return _written(changed, np.concatenate([spans[:kept], _spans(rest)]) if len(rest) >= SPAN else spans[:kept])
+    def edited(self, changed: np.ndarray) -> tuple[tuple[str, np.ndarray], int]:
+        """The fingerprint of a changed text, and the longest common extension of the starts:
+        spans that lie in it hash as before."""
+        other = Prefixes(changed)
+        same = self.of.extension(0, other, 0)
+        if min(self.of.n, other.n, same) < SPAN:
+            return _written(other, _spans(other) if other.n else np.empty(0, np.uint64)), same
+        kept = same - SPAN + 1
+        return _written(other, np.concatenate([self.spans[:kept], _spans(other, kept)])), same
 
 
 def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
@@ -174,7 +170,7 @@ def edited(points: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.concatenate([points[: len(points) - cut], following[:cut]]) if cut else points
 
 
-SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited bigint, common_next bigint"
 
 
 def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2_000, most_ranges: int = 10_000) -> DataFrame:
@@ -188,8 +184,15 @@ def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = max(1, min(most_ranges, n // rows_per_range))
     cuts = sorted(set(rows.agg(F.percentile_approx("_key", [(k + 1) / ranges for k in range(ranges - 1)], 100 * ranges)).first()[0] or [])) if ranges > 1 else []
     # range 0 has the largest keys; cuts are keys, so equal keys share a range
-    bucket = F.lit(len(cuts)) - F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_key"))), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("_range", bucket)
+    places = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(key):
+        import pandas as pd
+
+        return pd.Series((len(places) - np.searchsorted(places, key.to_numpy(np.int64), "left")).astype(np.int32))
+
+    rows = rows.withColumn("_range", bucket("_key") if cuts else F.lit(0))
     heads = {r["_range"]: r["head"] for r in rows.groupBy("_range").agg(F.max("_key").alias("head")).collect()}
     if not heads:
         return spark.createDataFrame([], SCHEMA)
@@ -204,16 +207,16 @@ def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out: list[tuple] = []
         held = held_range = None
 
-        def emit(own: tuple, following: tuple) -> None:
-            changed = edited(own[1], following[1])
-            cut = len(own[1]) // 3
-            mark = fingerprint_of_edit(own[1], own[3], changed, len(own[1]) - cut) if cut else own[2]
+        def emit(own: tuple[int | None, Fingerprinted], following: tuple[int | None, Fingerprinted]) -> None:
+            (key, a), (_, b) = own, following
+            changed = edited(a.of.points, b.of.points)
+            mark, same = a.edited(changed)
             sha = hashlib.sha256(changed.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((own[0], len(own[1]), sha, own[2][0], mark[0], likeness(own[2], mark), likeness(own[2], following[2])))
+            out.append((key, a.of.n, sha, a.mark[0], mark[0], likeness(a.mark, mark), likeness(a.mark, b.mark), same, a.of.extension(0, b.of, 0)))
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
                 out.clear()
 
@@ -223,8 +226,7 @@ def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     held, held_range = None, part
                 elif held is None:
                     continue  # the range's guest has been met
-                points = code_points(text)
-                row = (key, points, *fingerprint_and_spans(points))
+                row = (key, Fingerprinted(code_points(text)))
                 if held is not None:
                     emit(held, row)
                 held = None if guest else row

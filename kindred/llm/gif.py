@@ -5,7 +5,8 @@ clear codes wherever they stand, tables that are full, the four disposal methods
 and transparent colours. Each frame comes with its rectangle, its delay and the
 canvas as a viewer would show it. ``encode`` writes frames losslessly with a
 256-colour palette. ``frame_table`` stores the timed frames of a column of GIFs with
-colour histograms; null and malformed media give no rows there and are listed by
+colour histograms; null and malformed media, and canvases or frames of over ``MOST_PIXELS``
+(a header of a few bytes can claim 4 thousand million), give no rows there and are listed by
 ``media_errors``.
 
 ``store_texts`` keeps texts as 8-bit samples: the UTF-8 bytes, padded with spaces to a
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import bounded_batches, id_and_text
 
 WIDTH, FRAME_ROWS, FULL = 192, 512, 4096
+MOST_PIXELS = 1 << 26  # 256 MiB of RGBA
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 
 
@@ -180,6 +182,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         if flags & 0x80:
             n = 2 << (flags & 7)
             shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
+        if width * height > MOST_PIXELS:
+            raise ValueError("too large")
         canvas = np.zeros((height, width, 4), np.uint8)
         delay, disposal, clear = 0, 0, None
         while data[at] != 0x3B:
@@ -193,6 +197,8 @@ def decode(data: bytes) -> Iterator[Frame]:
             if data[at] != 0x2C:
                 raise ValueError("unknown block")
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+            if w * h > MOST_PIXELS:
+                raise ValueError("too large")
             at, palette = at + 10, shared
             if flags & 0x80:
                 n = 2 << (flags & 7)
@@ -239,6 +245,14 @@ def histogram(rgba: np.ndarray, bins: int = 8) -> np.ndarray:
 FRAMES = "media_id bigint, frame int, start_ms bigint, delay_ms int, width int, height int, disposal int, red array<bigint>, green array<bigint>, blue array<bigint>, rgba binary"
 
 
+def unreadable(media: bytes | None) -> str | None:
+    """Why ``decode`` can't read a medium to its end; None if it can."""
+    try:
+        return "null" if media is None else (sum(1 for _ in decode(media)), None)[1]
+    except ValueError as error:
+        return str(error)
+
+
 def frame_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row a frame: when it starts, how long it lasts, its pixels and histograms."""
     bounded_batches(df.sparkSession)
@@ -247,14 +261,13 @@ def frame_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
         schema = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("red", "green", "blue")), ("rgba", pa.binary())])
         for batch in batches:
             for key, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                start = 0
-                try:
-                    for k, f in enumerate(decode(media or b"")):
-                        bins = histogram(f.canvas).tolist()
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([key, k, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.disposal, *bins, f.canvas.tobytes()], schema.types, strict=True)], schema=schema)
-                        start += f.delay_ms
-                except ValueError:
+                if unreadable(media):  # read to its end first, so that a cut-off one gives no frame
                     continue
+                start = 0
+                for k, f in enumerate(decode(media)):
+                    bins = histogram(f.canvas).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([key, k, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.disposal, *bins, f.canvas.tobytes()], schema.types, strict=True)], schema=schema)
+                    start += f.delay_ms
 
     return df.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media")).mapInArrow(explode, FRAMES)
 
@@ -262,15 +275,9 @@ def frame_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 def media_errors(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """media_id and error of the media that ``decode`` can't read to the end; null media are ``null``."""
 
-    def why(media: bytes | None) -> str | None:
-        try:
-            return "null" if media is None else (sum(1 for _ in decode(media)), None)[1]
-        except ValueError as error:
-            return str(error)
-
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([why(m) for m in batch.column(1).to_pylist()], pa.string())], ["media_id", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unreadable(m) for m in batch.column(1).to_pylist()], pa.string())], ["media_id", "error"])
 
     return df.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media")).mapInArrow(explode, "media_id bigint, error string").filter("error is not null")
 

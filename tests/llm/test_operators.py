@@ -76,6 +76,22 @@ def test_prefix_hashes():
     assert all((spans[i] == spans[j]) == (a[i : i + 16] == a[j : j + 16]) for i in range(0, 280, 7) for j in range(0, 280, 5))
 
 
+def plain_likeness(a, b):
+    """The estimate of the two sets of 16-character spans, from the smallest hashes of their union."""
+
+    def hashed(t):
+        p, n = (1 << 31) - 1, min(16, len(t))
+        base = fingerprints.BASES[0]
+        own = {t[k : k + n] for k in range(len(t) - n + 1)} if t else set()
+        return {sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(s)) % p * (0x5BD1E995 % p) % p for s in own}
+
+    if a == b:
+        return 1.0
+    a, b = hashed(a), hashed(b)
+    union = sorted(a | b)[:64]
+    return sum(h in a and h in b for h in union) / len(union) if a and b else 0.0
+
+
 def test_fingerprint_chain(docs):
     got = fingerprints.fingerprint_chain(docs, rows_per_range=10).collect()
     order = sorted(((i, t or "") for i, t in texts(docs)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
@@ -83,11 +99,13 @@ def test_fingerprint_chain(docs):
     for k, (i, t) in enumerate(order):
         following, cut = order[(k + 1) % len(order)][1], len(t) // 3
         e = t[: len(t) - cut] + following[:cut]
-        want.setdefault((i, len(t)), set()).add((hashlib.sha256(e.encode()).hexdigest(), fingerprints.fingerprint(fingerprints.code_points(e))[0]))
+        shared = [next((n for n, (x, y) in enumerate(zip(t, other, strict=False)) if x != y), min(len(t), len(other))) for other in (e, following)]
+        marks = [fingerprints.fingerprint(fingerprints.code_points(x)) for x in (t, e, following)]
+        near = [plain_likeness(t, other) for other in (e, following)]
+        want.setdefault((i, len(t)), set()).add((hashlib.sha256(e.encode()).hexdigest(), marks[0][0], marks[1][0], *shared, *near))
     assert len(got) == len(order)
     for r in got:
-        assert (r.edited_sha256, r.edited_fingerprint) in want[(r.doc_id, r.n_chars)]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert (r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.common_edited, r.common_next, r.near_edited, r.near_next) in want[(r.doc_id, r.n_chars)]
 
 
 def test_gif_round_trip(docs):
@@ -116,9 +134,10 @@ def test_gif_disposal_transparency_interlace(spark):
     assert shown == [[red, green], [blue, green], [red, blue], [[0, 0, 0, 0], green]]
     tall = b"GIF89a" + bytes([1, 0, 8, 0, 0x81, 0, 0]) + palette + frame([0, 1, 2, 2, 3, 3, 3, 3], 1, 8, interlaced=True) + b";"
     assert next(gif.decode(tall)).indices[:, 0].tolist() == [0, 3, 2, 3, 1, 3, 2, 3]
-    df = spark.createDataFrame([(1, media), (2, None), (3, b"junk")], "id long, media binary")
+    df = spark.createDataFrame([(1, media), (2, None), (3, b"junk"), (4, media[:-14]), (5, b"GIF89a" + b"\xff" * 4 + b"\0\0\0;")], "id long, media binary")
     assert [r.start_ms for r in gif.frame_table(df, "id", "media").orderBy("frame").collect()] == [0, 50, 100, 150]
-    assert {r.media_id for r in gif.media_errors(df, "id", "media").collect()} == {2, 3}
+    assert {r.media_id for r in gif.media_errors(df, "id", "media").collect()} == {2, 3, 4, 5}
+    assert {r.media_id for r in gif.frame_table(df, "id", "media").collect()} == {1}
 
 
 def test_gif_deferred_clear_code():
