@@ -27,6 +27,13 @@ among the far members; a pair is left unmeasured only if the bounds above rule a
 out. So links and components are exact (up to collisions of 64-bit hashes within a cell).
 Where components alone are wanted, pairs that are known to be connected go unmeasured, too.
 
+Where links are counted, a set has a home: the first region that it came into. With size s and
+apart, the elements in which it differs from the pivot, its reach is
+(100 - percent) s - (100 + percent) apart. Two sets of one home whose reaches add up to 0 or more
+are linked, by the triangle inequality, whatever their differences have in common; these pairs are
+counted from the reaches alone. All others are measured, those of one home in that home only. So
+a group of near copies costs as much as it has members, not pairs.
+
 Words are the runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. With
 fewer words than n the whole sequence is the only element. Null, empty and blank texts
 have empty sets, which link with nothing. Each row of a repeated key is a document of its
@@ -319,7 +326,40 @@ def _parities(elements: str, word: int):
     return F.expr(f"aggregate(filter({elements}, e -> (shiftright(e, 6) & {SKETCH - 1}) = {word}), 0L, (bits, e) -> bits ^ shiftleft(1L, cast(e & 63 as int)))")
 
 
-def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int) -> DataFrame:
+def _housed(homes: DataFrame | None, measured: DataFrame, percent: int, turn: int) -> DataFrame:
+    """id, home (a hash of pivot and turn) and reach of each set that is in a region; the home is
+    the smallest pivot's of the first turn that has one. A pivot is at no distance from itself."""
+    region = measured.filter("lacking is not null")
+    came = region.select(F.col("b").alias("id"), "a", F.size("lacking").cast("bigint").alias("apart"), F.col("size_b").cast("bigint").alias("size"))
+    pivots = region.select(F.col("a").alias("id"), "a", F.lit(0).cast("bigint").alias("apart"), F.col("size_a").cast("bigint").alias("size"))
+    first = came.unionByName(pivots).groupBy("id").agg(F.min(F.struct("a", "apart", "size")).alias("to"))
+    if homes is not None:
+        first = first.join(homes.select("id"), "id", "left_anti")
+    new = first.select("id", _home("to.a", turn).alias("home"), F.expr(f"{100 - percent}L * to.size - {100 + percent}L * to.apart").alias("reach"))
+    out = stored(new if homes is None else homes.unionByName(new))
+    discard(homes)
+    return out
+
+
+def _home(pivot: str, turn: int):
+    return F.xxhash64(F.col(pivot), F.lit(turn))
+
+
+def _stars(homes: DataFrame) -> DataFrame:
+    """a, b: of each home, the set of the farthest reach and what it is linked to by reach. Whatever
+    is linked to any set of its home by reach is linked to that one."""
+    best = homes.groupBy("home").agg(F.max(F.struct("reach", "id")).alias("best"))
+    return homes.join(best, "home").filter("id <> best.id and reach + best.reach >= 0").select(F.col("best.id").alias("a"), F.col("id").alias("b"))
+
+
+def _unhoused(links: DataFrame, homes: DataFrame) -> DataFrame:
+    """The links that reaches don't tell."""
+    for end in ("a", "b"):
+        links = links.join(homes.select(F.col("id").alias(end), F.col("home").alias(f"home_{end}"), F.col("reach").alias(f"reach_{end}")), end, "left")
+    return links.filter("not coalesce(home_a = home_b and reach_a + reach_b >= 0, false)").select("a", "b")
+
+
+def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int, homes: DataFrame | None = None, turn: int = 0) -> DataFrame:
     """Pairs that may link among the sets of each pivot's region, which are those within 1/2,
     and in the triangle inequality's window beyond. A set there is its difference from the
     pivot; two sets differ in what their differences differ in, so of two linked ones the
@@ -333,9 +373,18 @@ def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int) -> D
     named = _labelled(region.select(F.col("b").alias("id"), "a"), known)
     several = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("a")
     of = _labelled(region.join(several, "a", "left_semi").select(F.col("b").alias("id"), "a", F.col("size_b").alias("size"), "lacking"), known)
+    extra: list[str] = []
+    if homes is not None:
+        of = of.join(homes, "id")
+        most = of.groupBy("a", "home").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "home")).alias("most"))
+        of = of.join(most, "a").withColumn("own", F.col("home") == _home("a", turn))
+        # pairs of settled sets are told by their reaches, or looked at in another region
+        of = of.withColumn("settled", (F.col("home") == F.col("most.home")) & (~F.col("own") | (F.col("reach") >= 0))).drop("most")
+        of = of.join(of.filter("not settled").select("a").distinct(), "a", "left_semi")
+        extra = ["home", "own", "reach", "settled"]
     of = of.withColumn("apart", F.size("lacking")).withColumn("h", F.expr(f"({100 - percent}L * (size + (size * 100L) div {percent})) div {100 + percent}"))
     words = [f"s{k}" for k in range(SKETCH)]
-    state = ["a", "id", "size", "component", "apart", "h", *words]
+    state = ["a", "id", "size", "component", "apart", "h", *words, *extra]
     of = of.select("*", *[_parities("lacking", k).alias(word) for k, word in enumerate(words)])
     of = stored(of.select(*state, "lacking"))
     # ranks are found on keys alone; what describes a set comes after
@@ -358,12 +407,19 @@ def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int) -> D
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         # a pair is looked at from its smaller difference, in equal ones from its smaller id
         both = x.alias("x").join(y.alias("y"), ["a", "e"]).filter("x.component <> y.component and (x.apart < y.apart or x.apart = y.apart and x.id < y.id)")
+        if homes is not None:
+            both = both.filter("x.home <> y.home or x.own and x.reach + y.reach < 0")
         # the first element that both have leaves room behind it for all they must share
         both = both.filter(allowed("2 * (x.rank - 1) + y.apart - x.apart")).filter(allowed("2 * (y.rank - 1) + x.apart - y.apart"))
         both = both.filter(allowed("y.apart - x.apart")).filter(allowed(" + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words)))
         return both.filter(F.expr(f"100L * least(x.size, y.size) >= {percent}L * greatest(x.size, y.size)")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
-    out = stored(met(small, large).unionByName(met(alone, reach)).distinct())
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        if homes is None:
+            return met(x, y)
+        return met(x.filter("not settled"), y).unionByName(met(x.filter("settled"), y.filter("not settled")))
+
+    out = stored(joined(small, large).unionByName(joined(alone, reach)).distinct())
     discard(of, large)
     return out
 
@@ -388,46 +444,53 @@ def _grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
     return out
 
 
-def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """id and component of what is linked to something, and with ``every`` all links (a, b),
-    a < b, once each. members: (cell, id); points: (id, elements). Without ``every``, pairs that
-    are known to be connected aren't measured."""
-    cells, turn, known, links = members.select("cell", "id"), 0, None, []
+def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8, links: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """id and component of what is linked to something. members: (cell, id); points: (id,
+    elements). With ``links`` "pairs" also all links (a, b), a < b, once each; with "counts"
+    those that reaches don't tell, and the homes (id, home, reach) that tell the others. With
+    neither, pairs that are known to be connected aren't measured."""
+    cells, turn, known, every, homes = members.select("cell", "id"), 0, None, [], None
     while turn == 0 or not cells.isEmpty():
         measured, rest = _round(cells, points, pivots if turn else 1, percent)
         near = stored(measured.filter(_linked(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if known is None or not near.isEmpty():
             known = _grown(known, near)
-        pairs = _in_regions(measured, None if every else known, percent)
+        if links == "counts":
+            homes = _housed(homes, measured, percent, turn)
+        pairs = _in_regions(measured, None if links else known, percent, homes, turn)
         found = stored(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
         discard(pairs)
         release(cells.sparkSession)
         if not found.isEmpty():
             known = _grown(known, found)
-        over, cells = cells, _open(rest, None if every else known)
+        over, cells = cells, _open(rest, None if links else known)
         discard(measured, over)
         if turn == 0 and not cells.isEmpty():
             far, cells = cells, stored(_refiled(cells, points, percent))
             discard(far)
-            over, cells = cells, _open(cells, None if every else known)
+            over, cells = cells, _open(cells, None if links else known)
             discard(over)
-        if every:
-            links += [near, found]
+        if links:
+            every += [near, found]
         else:
             discard(near, found)
         release(cells.sparkSession)
         turn += 1
     discard(cells)
-    if not every:
-        return known, None
-    out = stored(functools.reduce(DataFrame.unionByName, links).distinct())
-    discard(*links)
-    return known, out
-
-
-def _linked_sets(docs: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    if not links:
+        return known, None, None
+    out = functools.reduce(DataFrame.unionByName, every).distinct()
+    if homes is not None:
+        known = _grown(known, _stars(homes))
+        out = _unhoused(out, homes)
+    out = stored(out)
+    discard(*every)
+    return known, out, homes
+
+
+def _linked_sets(docs: DataFrame, n: int, percent: int, links: str | None) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
     """The documents' points, without cells; id, d1, d2 and component of the sets that share
-    enough cells (null if they link with none); and with ``every`` the links (a, b) between ids."""
+    enough cells (null if they link with none); and links and homes as of ``link_points``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     points = stored(_points(docs, n, percent))
@@ -445,33 +508,41 @@ def _linked_sets(docs: DataFrame, n: int, percent: int, every: bool) -> tuple[Da
     cells = stored(members.join(names, ["d1", "d2"]).select("cell", "id"))
     discard(members, rows)
     release(spark)
-    known, links = link_points(cells, points.select("id", "elements"), percent, every=every)
+    known, pairs, homes = link_points(cells, points.select("id", "elements"), percent, links=links)
     named = stored(names.join(known, "id", "left"))
     discard(points, names, cells, known)
-    return filed, named, links
+    return filed, named, pairs, homes
 
 
-def _told(filed: DataFrame, named: DataFrame, links: DataFrame | None) -> DataFrame:
-    """d1, d2 and component_id of each set that isn't empty, and with links n_links."""
+def _told(filed: DataFrame, named: DataFrame, links: DataFrame, homes: DataFrame) -> DataFrame:
+    """d1, d2, n_links and component_id of each set that isn't empty."""
     # equal sets: a row a digest first, so that copies cost nothing in what follows
     least = filed.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    of_sets = least.join(named, ["d1", "d2"], "left")
-    if links is not None:
-        of_sets = stored(of_sets)
-        copies = of_sets.filter("id is not null").select("id", "copies")
-        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        others = ends.join(copies.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
-        of_sets = of_sets.join(others, "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0).cast("bigint")))
+    of_sets = stored(least.join(named, ["d1", "d2"], "left"))
+    copies = of_sets.filter("id is not null").select("id", "copies")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(copies.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
+    # rows whose reach is at least what a set lacks to 0: sums over the few reaches of a home
+    housed = homes.join(copies, "id")
+    held = housed.groupBy("home", "reach").agg(F.sum("copies").alias("n"))
+    asked = held.select("home", "reach", (-F.col("reach")).alias("key"), F.lit(1).alias("last"), F.lit(0).cast("bigint").alias("n"))
+    held = held.select("home", "reach", F.col("reach").alias("key"), F.lit(0).alias("last"), "n")
+    upto = Window.partitionBy("home").orderBy(F.desc("key"), "last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = held.unionByName(asked).withColumn("within", F.sum("n").over(upto)).filter("last = 1").select("home", "reach", "within")
+    # a set's own copies are counted apart
+    told = housed.join(within, ["home", "reach"]).select("id", (F.col("within") - F.when(F.col("reach") >= 0, F.col("copies")).otherwise(0)).alias("by_reach"))
+    none = F.lit(0).cast("bigint")
+    of_sets = of_sets.join(others, "id", "left").join(told, "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", none) + F.coalesce("by_reach", none))
     of_parts = of_sets.filter("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
-    more = ["n_links"] if links is not None else []
-    return stored(of_sets.join(of_parts, "component", "left").select("d1", "d2", *more, F.coalesce("smallest", "least").alias("component_id")))
+    return stored(of_sets.join(of_parts, "component", "left").select("d1", "d2", "n_links", F.coalesce("smallest", "least").alias("component_id")))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (to other rows, equal sets among them)
     of each row."""
-    filed, named, links = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=True)
-    told = _told(filed, named, links)
+    filed, named, links, homes = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, "counts")
+    told = _told(filed, named, links, homes)
+    discard(named, links, homes)
     rows = filed.select("doc_id", "size", "d1", "d2")
     out = rows.filter("size > 0").join(told, ["d1", "d2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "n_links")
     return out.unionByName(rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")))
@@ -481,7 +552,7 @@ def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All links, as pairs (a, b), a < b, of representatives, and membership: doc_id and
     representative of each row. A representative stands for rows of one set, which are linked
     with one another; it is a number of this call and null for empty sets."""
-    filed, named, links = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=True)
+    filed, named, links, _ = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, "pairs")
     sets = filed.filter("size > 0").select("d1", "d2").distinct().join(named, ["d1", "d2"], "left")
     # sets that share no cell have no links; their numbers are below those of the others
     sets = stored(sets.select("d1", "d2", F.coalesce("id", -1 - F.monotonically_increasing_id()).alias("representative")))
@@ -494,7 +565,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows of ``df``, all columns, of which one of each group stays, a whole row: one with the
     group's smallest key (null comes last), and of those one of the same text. Rows with
     empty sets are in no group and all stay, as does what links to nothing, whatever its key."""
-    filed, named, _ = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, every=False)
+    filed, named, _, _ = _linked_sets(id_and_text(df, id_col, text_col, binary=True), n, percent, None)
     rows = filed.filter("size > 0").groupBy("d1", "d2", "doc_id", "row").agg(F.lit(1))
     least = rows.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
     least = stored(least.join(named.filter("component is not null").select("d1", "d2", "component"), ["d1", "d2"], "left").select("component", "first"))
