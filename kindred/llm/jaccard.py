@@ -13,7 +13,7 @@ documents into one region. Regions here are cells of coarse projections instead:
    for a set that has at most e of them. A set stays in a range only if it shares as many
    cells there as a linked set would make it share (e + 1 less its empty parts), so the few
    cells of a passage that unrelated texts have in common hold nothing.
-4. In each cell a pivot is elected (the smallest id) and the distance of all others to it
+4. In each cell a pivot is elected (the set in most cells) and the distance of all others to it
    is measured exactly. Members within 1/2 are its Voronoi region; those up to 1/2 plus
    the linking distance are copied to it, as the triangle inequality lets them link
    into it. A region joins on the differences of its sets from the pivot, by the rarest
@@ -287,9 +287,12 @@ def _open(cells: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _elected(cells: DataFrame, pivots: int) -> DataFrame:
-    """cell, pivot: the smallest ids of each cell. Minima and the limit act before the shuffle."""
+    """cell, pivot: the smallest ids of each cell, or one that is in most cells: a text with few
+    edits of its own, so that the cells of near copies agree on few pivots. Minima and the limit
+    act before the shuffle."""
     if pivots == 1:
-        return cells.groupBy("cell").agg(F.min("id").alias("pivot"))
+        spread = cells.groupBy("id").agg((-F.count("*")).alias("minus"))
+        return cells.join(spread, "id").groupBy("cell").agg(F.min(F.struct("minus", "id")).alias("best")).select("cell", F.col("best.id").alias("pivot"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("id"))
     return cells.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("cell", F.col("id").alias("pivot"))
 
