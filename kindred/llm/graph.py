@@ -14,8 +14,8 @@ from pyspark.sql.types import BooleanType
 from kindred.llm.common import discard, release, stored
 
 
-#: So many links of 16 bytes are joined in one task at once; more take rounds of joins.
-FEW = 50_000
+#: So many links are joined in one task at once, in about 150 MB; more take rounds of joins.
+FEW = 500_000
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

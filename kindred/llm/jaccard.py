@@ -456,7 +456,7 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
     while turn == 0 or not cells.isEmpty():
         measured, rest = _round(cells, points, pivots if turn else 1, percent)
         near = stored(measured.filter(_linked(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if known is None or not near.isEmpty():
+        if not links and (known is None or not near.isEmpty()):
             known = _grown(known, near)
         if links == "counts":
             homes = _housed(homes, measured, percent, turn)
@@ -464,7 +464,7 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
         found = stored(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
         discard(pairs)
         release(cells.sparkSession)
-        if not found.isEmpty():
+        if not links and not found.isEmpty():
             known = _grown(known, found)
         over, cells = cells, _open(rest, None if links else known)
         discard(measured, over)
@@ -482,12 +482,13 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
     discard(cells)
     if not links:
         return known, None, None
-    out = functools.reduce(DataFrame.unionByName, every).distinct()
-    if homes is not None:
-        known = _grown(known, _stars(homes))
-        out = _unhoused(out, homes)
-    out = stored(out)
+    out = stored(functools.reduce(DataFrame.unionByName, every).distinct())
     discard(*every)
+    # components weren't needed before, so they are found once
+    known = _grown(None, out if homes is None else out.unionByName(_stars(homes)))
+    if homes is not None:
+        alike, out = out, stored(_unhoused(out, homes))
+        discard(alike)
     return known, out, homes
 
 
