@@ -253,17 +253,17 @@ def _sets(docs: DataFrame, n: int, wanted: Bloom | None) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, points: DataFrame, window: int | None = None) -> DataFrame:
-    """a, b, size_a, size_b, common and lacking of pairs (a, b) of points. lacking: the elements
-    that one of the two lacks, if at least ``window`` per cent of the union are common;
-    else, and with no window, null."""
-    a = points.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
-    b = points.select(F.col("id").alias("b"), F.col("elements").alias("of_b"))
+    """a, b, size_a, size_b, copies_a, copies_b, common and lacking of pairs (a, b) of points.
+    lacking: the elements that one of the two lacks, if at least ``window`` per cent of the
+    union are common; else, and with no window, null."""
+    a = points.select(F.col("id").alias("a"), F.col("elements").alias("of_a"), F.col("copies").alias("copies_a"))
+    b = points.select(F.col("id").alias("b"), F.col("elements").alias("of_b"), F.col("copies").alias("copies_b"))
     both = pairs.join(a, "a").join(b, "b")
     both = both.withColumn("only_a", F.array_except("of_a", "of_b"))
-    both = both.select("a", "b", F.size("of_a").alias("size_a"), F.size("of_b").alias("size_b"), (F.size("of_a") - F.size("only_a")).alias("common"), "only_a", "of_a", "of_b")
+    both = both.select("a", "b", F.size("of_a").alias("size_a"), F.size("of_b").alias("size_b"), "copies_a", "copies_b", (F.size("of_a") - F.size("only_a")).alias("common"), "only_a", "of_a", "of_b")
     # elements of a set are distinct, so the two differences are disjoint
     apart = F.when(_linked(window), F.concat("only_a", F.array_except("of_b", "of_a"))) if window is not None else F.lit(None).cast("array<bigint>")
-    return both.select("a", "b", "size_a", "size_b", "common", apart.alias("lacking"))
+    return both.select("a", "b", "size_a", "size_b", "copies_a", "copies_b", "common", apart.alias("lacking"))
 
 
 def _linked(percent: int):
@@ -359,7 +359,7 @@ def _unhoused(links: DataFrame, homes: DataFrame) -> DataFrame:
     """The links that reaches don't tell."""
     for end in ("a", "b"):
         links = links.join(homes.select(F.col("id").alias(end), F.col("home").alias(f"home_{end}"), F.col("reach").alias(f"reach_{end}")), end, "left")
-    return links.filter("not coalesce(home_a = home_b and reach_a + reach_b >= 0, false)").select("a", "b")
+    return links.filter("not coalesce(home_a = home_b and reach_a + reach_b >= 0, false)").select("a", "b", "copies_a", "copies_b")
 
 
 def _in_regions(measured: DataFrame, known: DataFrame | None, percent: int, homes: DataFrame | None = None, turn: int = 0) -> DataFrame:
@@ -449,19 +449,21 @@ def _grown(known: DataFrame | None, found: DataFrame) -> DataFrame:
 
 def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int = 8, links: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """id and component of what is linked to something. members: (cell, id); points: (id,
-    elements). With ``links`` "pairs" also all links (a, b), a < b, once each; with "counts"
-    those that reaches don't tell, and the homes (id, home, reach) that tell the others. With
-    neither, pairs that are known to be connected aren't measured."""
+    elements, copies: how many rows have the set). With ``links`` "pairs" also all links (a, b,
+    copies_a, copies_b), a < b, once each; with "counts" those that reaches don't tell, and the
+    homes (id, home, reach) that tell the others. With neither, pairs that are known to be
+    connected aren't measured."""
     cells, turn, known, every, homes = members.select("cell", "id"), 0, None, [], None
     while turn == 0 or not cells.isEmpty():
         measured, rest = _round(cells, points, pivots if turn else 1, percent)
-        near = stored(measured.filter(_linked(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        linked, turned = measured.filter(_linked(percent)), F.col("a") > F.col("b")
+        near = stored(linked.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("copies_a", "copies_b"), ("copies_b", "copies_a"))]))
         if not links and (known is None or not near.isEmpty()):
             known = _grown(known, near)
         if links == "counts":
             homes = _housed(homes, measured, percent, turn)
         pairs = _in_regions(measured, None if links else known, percent, homes, turn)
-        found = stored(_measured(pairs, points).filter(_linked(percent)).select("a", "b"))
+        found = stored(_measured(pairs, points).filter(_linked(percent)).select("a", "b", "copies_a", "copies_b"))
         discard(pairs)
         release(cells.sparkSession)
         if not links and not found.isEmpty():
@@ -485,7 +487,7 @@ def link_points(members: DataFrame, points: DataFrame, percent: int, pivots: int
     out = stored(functools.reduce(DataFrame.unionByName, every).distinct())
     discard(*every)
     # components weren't needed before, so they are found once
-    known = _grown(None, out if homes is None else out.unionByName(_stars(homes)))
+    known = _grown(None, out if homes is None else out.select("a", "b").unionByName(_stars(homes)))
     if homes is not None:
         alike, out = out, stored(_unhoused(out, homes))
         discard(alike)
@@ -503,16 +505,16 @@ def _linked_sets(docs: DataFrame, n: int, percent: int, links: str | None) -> tu
     discard(points)
     # a row of each set, so that copies are read and shuffled once
     involved = members.select("d1", "d2").distinct()
-    rows = stored(filed.join(involved, ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.min("row").alias("row")))
+    rows = stored(filed.join(involved, ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
     release(spark)
-    sets = _sets(docs, n, Bloom.of(rows, "row")).join(rows, ["d1", "d2", "row"], "left_semi")
-    found = sets.groupBy("d1", "d2").agg(F.first("elements").alias("elements"))
+    sets = _sets(docs, n, Bloom.of(rows, "row")).join(rows, ["d1", "d2", "row"])
+    found = sets.groupBy("d1", "d2").agg(F.first("elements").alias("elements"), F.first("copies").alias("copies"))
     points = stored(found.withColumn("id", F.monotonically_increasing_id()))
     names = stored(points.select("d1", "d2", "id"))
     cells = stored(members.join(names, ["d1", "d2"]).select("cell", "id"))
     discard(members, rows)
     release(spark)
-    known, pairs, homes = link_points(cells, points.select("id", "elements"), percent, links=links)
+    known, pairs, homes = link_points(cells, points.select("id", "elements", "copies"), percent, links=links)
     named = stored(names.join(known, "id", "left"))
     discard(points, names, cells, known)
     return filed, named, pairs, homes
@@ -524,8 +526,9 @@ def _told(filed: DataFrame, named: DataFrame, links: DataFrame, homes: DataFrame
     least = filed.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     of_sets = stored(least.join(named, ["d1", "d2"], "left"))
     copies = of_sets.filter("id is not null").select("id", "copies")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(copies.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
+    # a link brings the copies of both ends, so these are summed before any shuffle
+    ends = links.select(F.col("a").alias("id"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("id"), F.col("copies_a").alias("n")))
+    others = ends.groupBy("id").agg(F.sum("n").alias("others"))
     # rows whose reach is at least what a set lacks to 0: sums over the few reaches of a home
     housed = homes.join(copies, "id")
     held = housed.groupBy("home", "reach").agg(F.sum("copies").alias("n"))
@@ -562,7 +565,7 @@ def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = stored(sets.select("d1", "d2", F.coalesce("id", -1 - F.monotonically_increasing_id()).alias("representative")))
     rows = filed.select("doc_id", "size", "d1", "d2")
     membership = rows.filter("size > 0").join(sets, ["d1", "d2"]).select("doc_id", "representative")
-    return links, membership.unionByName(rows.filter("size = 0").select("doc_id", F.lit(None).cast("bigint").alias("representative")))
+    return links.select("a", "b"), membership.unionByName(rows.filter("size = 0").select("doc_id", F.lit(None).cast("bigint").alias("representative")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
