@@ -71,6 +71,7 @@ class Chain:
                     own[1].append(p)
             self.of_e.append(by_e)
             self.of_r.append({r: (np.array(es), np.array(ps)) for r, (es, ps) in by_r.items()})
+        self.near: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in s.emp]
         self.by_value: list[dict[int, set[int]]] = [{} for _ in s.emp]
         for e, v in self.value.items():
             for a, x in enumerate(v.tolist()):
@@ -124,10 +125,11 @@ class Chain:
     @staticmethod
     def pick(weights: np.ndarray, rng) -> int:
         """An index in proportion to the weights."""
-        c = np.cumsum(weights)
-        if not (len(c) and np.isfinite(c[-1]) and c[-1] > 0) or (np.asarray(weights) < 0).any():
+        w = np.asarray(weights)
+        c = w.cumsum()
+        if not (len(c) and 0 < c[-1] < math.inf) or w.min() < 0:
             raise ValueError("weights must be finite, not negative, and not all 0")
-        return int(min(np.searchsorted(c, rng.random() * c[-1], "right"), len(c) - 1))
+        return min(int(c.searchsorted(rng.random() * c[-1], "right")), len(c) - 1)
 
     # -- base distribution of distorted values -------------------------------------
     def p(self, a: int, r: int, e: int) -> float:
@@ -276,10 +278,13 @@ class Chain:
         seen = [r for r in sorted(self.members[e]) if self.s.x[r, a] >= 0]
         if not seen:
             return None
+        values = {int(self.s.x[r, a]) for r in seen}
+        alone = None  # p over the support, if there is one observed value
         if self.s.close[a] is None:
             support = np.arange(len(self.s.emp[a]))
+        elif len(values) == 1:
+            support, alone = self.around(a, *values)
         else:
-            values = {int(self.s.x[r, a]) for r in seen}
             support = np.array(sorted(values.union(*[self.of_r[a].get(v, ((), ()))[0] for v in values])), int)
         with np.errstate(divide="ignore"):
             logw = np.log(self.phi[a][support])
@@ -292,6 +297,8 @@ class Chain:
                 q = theta * (1.0 if self.s.close[a] is None else self.s.factor[a][support])
                 if self.s.close[a] is None:
                     p = emp[x] / (1 - emp[support]) if self.s.exclude[a] else np.full(len(support), emp[x])
+                elif alone is not None:
+                    p = alone
                 else:
                     p = np.array([self.of_e[a].get(int(v), {}).get(x, 0.0) for v in support])
                 differs = support != x
@@ -305,15 +312,86 @@ class Chain:
                 same[x] = same.get(x, 0) + 1
         return support, logw
 
+    def around(self, a: int, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """The values that an entity whose records all show x may have, and p(x | each)."""
+        found = self.near[a].get(x)
+        if found is None:
+            es, ps = self.of_r[a].get(x, (np.empty(0, int), np.empty(0)))
+            if x not in es:
+                es, ps = np.append(es, x), np.append(ps, 0.0)
+            order = np.argsort(es)
+            found = self.near[a][x] = es[order].astype(int), ps[order]
+        return found
+
+    def baseline(self, a: int, m: int, made: dict) -> tuple[np.ndarray, float]:
+        """What the weights of all values that none of m records shows have in common, for an
+        attribute without a distance; ``made`` keeps them while phi stays the same."""
+        if (a, m) not in made:
+            base = self.phi[a] / (1 - self.s.emp[a]) ** m if self.s.exclude[a] else self.phi[a]
+            made[a, m] = base, float(base.sum())
+        return made[a, m]
+
+    def entity_parts(self, e: int, a: int, made: dict) -> tuple[list[int], list[float], float] | None:
+        """For an attribute without a distance whose distorted values are independent: the observed
+        values, their weights, and the weight of all others together. Weights are divided by that of
+        a distorted observation of each record; None if nothing was observed."""
+        seen = [r for r in self.members[e] if self.s.x[r, a] >= 0]
+        if not seen:
+            return None
+        emp, phi, exclude = self.s.emp[a], self.phi[a], self.s.exclude[a]
+        base, total = self.baseline(a, len(seen), made)
+        values = sorted({int(self.s.x[r, a]) for r in seen})
+        weights = []
+        for v in values:
+            w = float(phi[v])
+            for r in seen:
+                x, theta = int(self.s.x[r, a]), float(self.theta[self.s.file[r], a])
+                if x != v:
+                    w *= 1 / (1 - float(emp[v])) if exclude else 1.0
+                else:
+                    on = 1 - theta if exclude else 1 - theta + theta * float(emp[x])
+                    w *= on / (theta * float(emp[x])) if theta > 0 else math.inf
+            weights.append(w)
+        return values, weights, max(total - sum(float(base[v]) for v in values), 0.0)
+
+    def draw_value(self, e: int, a: int, rng, made: dict) -> int:
+        if self.s.close[a] is None and math.isinf(self.b[a]):
+            # in two levels: an unobserved value is rarely drawn, and only then are all read
+            parts = self.entity_parts(e, a, made)
+            if parts is None:
+                return self.pick(self.phi[a], rng)
+            values, weights, others = parts
+            total = sum(weights) + others
+            if 0 < total < math.inf:
+                u = rng.random() * total
+                for v, w in zip(values, weights, strict=True):
+                    u -= w
+                    if u < 0:
+                        return v
+                rest = self.baseline(a, sum(self.s.x[r, a] >= 0 for r in self.members[e]), made)[0].copy()
+                rest[values] = 0
+                return self.pick(rest, rng) if rest.any() else values[-1]
+        if self.s.close[a] is not None and len(self.members[e]) == 1:
+            # one record: no concentration counts, and no logarithms are needed
+            (r,) = self.members[e]
+            x = int(self.s.x[r, a])
+            if x < 0:
+                return self.pick(self.phi[a], rng)
+            support, p = self.around(a, x)
+            q = float(self.theta[self.s.file[r], a]) * self.s.factor[a][support]
+            on = 1 - q if self.s.exclude[a] else 1 - q + q * p
+            return int(support[self.pick(self.phi[a][support] * np.where(support == x, on, q * p), rng)])
+        found = self.entity_logweights(e, a)
+        if found is None:
+            return self.pick(self.phi[a], rng)
+        support, logw = found
+        return int(support[self.pick(np.exp(logw - logw.max()), rng)])
+
     def update_entities(self, rng) -> None:
+        made: dict = {}
         for e in sorted(self.members):
             for a in range(len(self.s.emp)):
-                found = self.entity_logweights(e, a)
-                if found is None:
-                    new = self.pick(self.phi[a], rng)
-                else:
-                    support, logw = found
-                    new = int(support[self.pick(np.exp(logw - logw.max()), rng)])
+                new = self.draw_value(e, a, rng, made)
                 old = int(self.value[e][a])
                 if new != old:
                     self.by_value[a][old].discard(e)
@@ -390,7 +468,7 @@ class Chain:
         return out
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("of_e", "of_r", "self_p", "by_value", "s")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("of_e", "of_r", "self_p", "by_value", "near", "s")}
 
     def resume(self, spec: Spec) -> Chain:
         self.s = spec

@@ -128,3 +128,100 @@ def test_invariants_of_a_sweep():
             for a, x in enumerate(chain.s.x[r].tolist()):
                 if x >= 0:
                     assert (x != chain.value[e][a]) == chain.z[r, a]
+
+
+def test_two_level_entity_draw_has_the_weights_of_the_plain_one():
+    rng = np.random.default_rng(3)
+    for exclude in (True, False):
+        spec = toy(rng.integers(-1, 5, (40, 2)).tolist(), 5, Ewens(1.0))
+        spec.exclude = [exclude] * 2
+        spec.emp = [np.array([0.1, 0.3, 0.2, 0.25, 0.15])] * 2
+        chain = Chain(spec, 2, 0)
+        for _ in range(5):
+            chain.sweep()
+        for e in chain.members:
+            for a in range(2):
+                plain, parts = chain.entity_logweights(e, a), chain.entity_parts(e, a, {})
+                assert (plain is None) == (parts is None)
+                if plain is not None:
+                    support, logw = plain
+                    w = np.exp(logw - logw.max())
+                    w /= w.sum()
+                    values, weights, others = parts
+                    total = sum(weights) + others
+                    assert np.allclose([w[support == v][0] for v in values], np.array(weights) / total)
+                    assert math.isclose(w[~np.isin(support, values)].sum(), others / total, abs_tol=1e-9)
+
+
+def successive(chain, redraw, statistic, n, rng):
+    """Means of a statistic where data are drawn anew from the prior at each turn."""
+    out = []
+    for _ in range(n):
+        redraw(chain, rng)
+        out.append(statistic(chain))
+    return np.array(out)
+
+
+@pytest.mark.parametrize(
+    ("prior", "read", "expected", "tolerance"),
+    [
+        (PitmanYor(Gamma(4, 2), Beta(2, 6)), lambda c: (c.alpha, c.d), (2.0, 0.25), (0.25, 0.03)),
+        (GeneralizedCoupon(12, Gamma(4, 2)), lambda c: (c.kappa,), (2.0,), (0.25,)),
+        (GeneralizedCoupon(ShiftedNegBinom(6, 0.5), 1.5), lambda c: (c.m,), (7.0,), (0.5,)),
+    ],
+)
+def test_hyperparameters_keep_their_prior(prior, read, expected, tolerance):
+    """Geweke's successive-conditional test: a partition is seated by the hyperparameters and they
+    are updated given it, in turn, so in the long run they follow their prior."""
+    rng = np.random.default_rng(8)
+    chain = Chain(toy([[-1]] * 8, 3, prior), 3, 0)
+    chain.clustering = prior.drawn(rng)
+
+    def redraw(c, rng):
+        labels = seat(8, c.clustering, rng)
+        c.members = {int(k): set(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist())}
+        c.update_prior(rng)
+
+    seen = successive(chain, redraw, lambda c: read(c.clustering), 12000, rng)
+    assert (np.abs(seen.mean(axis=0) - expected) < tolerance).all(), seen.mean(axis=0)
+
+
+def test_entity_distribution_and_distortion_keep_their_priors():
+    rng = np.random.default_rng(9)
+    spec = toy([[0]] * 20, 3, Ewens(1.0), [Beta(3, 5)])
+    spec.phi_alpha = [np.array([1.0, 2.0, 3.0])]
+    chain = Chain(spec, 1, 0)
+
+    def phi(c, rng):
+        c.value = {e: np.array([rng.choice(3, p=c.phi[0])]) for e in range(6)}
+        c.update_phi(rng)
+
+    assert np.allclose(successive(chain, phi, lambda c: c.phi[0].copy(), 6000, rng).mean(axis=0), [1 / 6, 1 / 3, 1 / 2], atol=0.02)
+
+    def theta(c, rng):
+        c.z = rng.random((20, 1)) < c.theta[0, 0]
+        c.update_theta(~c.z, rng)
+
+    assert abs(successive(chain, theta, lambda c: c.theta[0, 0], 6000, rng).mean() - 3 / 8) < 0.02
+
+
+def test_concentration_keeps_its_prior():
+    """Distorted values of each entity are seated by a Dirichlet process about the base distribution."""
+    rng = np.random.default_rng(10)
+    spec = toy([[0]] * 12, 4, Ewens(1.0), [0.5])
+    spec.b_prior = [Gamma(3, 1.5)]
+    chain = Chain(spec, 1, 0)
+    chain.members = {e: {3 * e, 3 * e + 1, 3 * e + 2} for e in range(4)}
+    chain.value = {e: np.array([0]) for e in range(4)}
+
+    def redraw(c, rng):
+        for members in c.members.values():
+            before: list[int] = []
+            for r in sorted(members):
+                old = before and rng.random() < len(before) / (len(before) + c.b[0])
+                v = int(rng.choice(before)) if old else int(rng.integers(1, 4))
+                c.s.x[r, 0] = v
+                before.append(v)
+        c.update_concentrations(rng)
+
+    assert abs(successive(chain, redraw, lambda c: c.b[0], 12000, rng).mean() - 2.0) < 0.15
