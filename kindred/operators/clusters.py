@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,3 +128,29 @@ def effective_sample_size(series: DataFrame) -> DataFrame:
     spread = means.groupBy("name").agg(F.var_samp("mean").alias("between"))
     ess = F.when((F.col("v") == 0) | (F.col("between") == 0), F.col("n").cast("double")).otherwise(F.col("n") * F.col("v") / (F.col("size") * F.col("between")))
     return n.join(spread, "name").select("name", "n", ess.alias("ess"))
+
+
+def multivariate_effective_sample_size(series: DataFrame) -> DataFrame:
+    """name, n, dims, ess of (name, dim, i, value): n * (det sample covariance / det batch-means
+    covariance)^(1 / dims), with floor(sqrt(n)) values a batch (Vats, Flegal and Jones, 2019). Constant
+    dimensions are left out; if none is left the samples count as independent. A name's series, as
+    long as its chain, is read by one task; ess is null with fewer batches than dimensions need."""
+
+    def estimate(group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot(index="i", columns="dim", values="value").sort_index().to_numpy(float)
+        n = len(wide)
+        wide = wide[:, wide.std(axis=0) > 0]
+        dims, ess = wide.shape[1], float(n)
+        if dims:
+            size = int(np.sqrt(n))
+            batches = n // size
+            means = wide[: batches * size].reshape(batches, size, dims).mean(axis=1)
+            if batches <= dims:
+                ess = None
+            else:
+                sign, within = np.linalg.slogdet(np.atleast_2d(np.cov(wide, rowvar=False)))
+                other, between = np.linalg.slogdet(size * np.atleast_2d(np.cov(means, rowvar=False)))
+                ess = float(n * np.exp((within - between) / dims)) if sign > 0 and other > 0 else None
+        return pd.DataFrame({"name": [group["name"].iloc[0]], "n": [n], "dims": [dims], "ess": [ess]})
+
+    return series.select("name", "dim", "i", "value").groupBy("name").applyInPandas(estimate, "name string, n bigint, dims bigint, ess double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -137,24 +137,47 @@ class Fit:
         name = F.concat_ws(":", "kind", F.col("chain").cast("string"), F.col("i").cast("string"), F.col("j").cast("string"), "name")
         return effective_sample_size(rows.select(name.alias("name"), F.col("sample").cast("bigint").alias("i"), "value"))
 
+    def joint_summary(self) -> DataFrame:
+        """name, n, dims, ess of each history table of a chain as one vector; see
+        ``multivariate_effective_sample_size``."""
+        from kindred.operators.clusters import multivariate_effective_sample_size
+
+        rows = self.rows().filter("state is null and kind not in ('links', 'distort_dist_concs')")
+        name, dim = F.concat_ws(":", "kind", F.col("chain").cast("string")), F.concat_ws(":", F.col("i").cast("string"), F.col("j").cast("string"), "name")
+        return multivariate_effective_sample_size(rows.select(name.alias("name"), dim.alias("dim"), F.col("sample").cast("bigint").alias("i"), "value"))
+
+    def show(self) -> str:
+        """What was run and kept, with the effective sample sizes."""
+        lines = [repr(self), f"Recorded: {', '.join(TABLES)}", "Effective sample size:"]
+        sizes = self.joint_summary().orderBy("name").collect()
+        return "\n".join([*lines, *[f"  {r['name']}: {'unknown' if r['ess'] is None else round(r['ess'], 1)}" for r in sizes]])
+
     def __repr__(self) -> str:
         return f"Fit({self.n_samples} samples of {self.chains} chains, thin {self.thin}, burn-in {self.burnin})"
 
 
-def run_inference(model: Model | Fit, n_samples: int, thin: int = 1, burnin: int = 0, chains: int = 1, seed: int = 1, block: int = 1000) -> Fit:
-    """Samples of each chain. A fit is continued: its own thin counts, and no burn-in. Each
+def run_inference(model: Model | Fit, n_samples: int, thin: int = 1, burnin: int = 0, chains: int = 1, seed: int = 1, block: int = 1000, progress: Callable[[int, int], bool | None] | None = None) -> Fit:
+    """Samples of each chain. A fit is continued: its own thin counts, and no new burn-in. Each
     block of iterations ends in a table with the samples and the chain's state, from
-    which the next block, or a later call, goes on; a lost task repeats its block only."""
+    which the next block, or a later call, goes on; a lost task repeats its block only.
+
+    ``progress`` is called after each block with the iterations done and wanted. If it returns False,
+    or an interrupt comes (KeyboardInterrupt), the run ends with the blocks that are whole: the fit then has the
+    samples that were saved, none made up, and can be continued. An interrupt before the first
+    block ends is raised."""
     earlier = model if isinstance(model, Fit) else None
     if earlier is not None:
-        model, thin, burnin, chains, seed = earlier.model, earlier.thin, 0, earlier.chains, earlier.seed
+        model, thin, chains, seed = earlier.model, earlier.thin, earlier.chains, earlier.seed
+        # what an early end left of the burn-in, and of the thinning
+        burnin = max(0, earlier.burnin - earlier.start)
     saved = kept(n_samples, thin, burnin)
     start = earlier.start if earlier else 0
+    since = (start - earlier.burnin) % thin if earlier and not burnin else 0
     already = earlier.n_samples if earlier else 0
     spark = model.record_values.sparkSession
     sent = spark.sparkContext.broadcast(specification(model))
     path = earlier.path if earlier else f"{checkpoint_folder(spark)}/fit-{uuid.uuid4().hex}"
-    wanted = {start + it: already + k for k, it in enumerate(saved)}
+    wanted = {start - since + it: already + k for k, it in enumerate(saved)}
     last, blocks = max(wanted), list(earlier.blocks) if earlier else []
     at = start
     while at < last:
@@ -163,13 +186,20 @@ def run_inference(model: Model | Fit, n_samples: int, thin: int = 1, burnin: int
         ours = {it: k for it, k in wanted.items() if at < it <= upto}
 
         target = f"{path}/{at:09d}-{upto:09d}-{uuid.uuid4().hex[:8]}"
-        states.groupBy("chain").applyInPandas(_block(sent, seed, at, upto, ours), _SCHEMA).write.parquet(target)
+        try:
+            states.groupBy("chain").applyInPandas(_block(sent, seed, at, upto, ours), _SCHEMA).write.parquet(target)
+        except KeyboardInterrupt:
+            if not blocks:
+                raise
+            break
         blocks.append(target)
         at = upto
-    total = already + n_samples
+        if progress is not None and progress(at - start, last - start) is False:
+            break
+    total = already + sum(it <= at for it in wanted)
     if earlier is not None:
-        return replace(earlier, blocks=blocks, n_samples=total, start=last)
-    return Fit(model, path, blocks, total, thin, burnin, chains, seed, last)
+        return replace(earlier, blocks=blocks, n_samples=total, start=at)  # burn-in as asked first
+    return Fit(model, path, blocks, total, thin, burnin, chains, seed, at)
 
 
 def _block(sent, seed: int, at: int, upto: int, ours: dict[int, int]):

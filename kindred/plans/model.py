@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.distances import Distance
@@ -17,7 +18,8 @@ from kindred.operators import encoding, similarity
 
 @dataclass(frozen=True)
 class Attribute:
-    """distance None: any value may be distorted to any other. distort_prob: a Beta prior
+    """distance None: any value may be distorted to any other. blocking: for a distance without an
+    edit threshold, an array of keys of which close values share one. distort_prob: a Beta prior
     or a fixed probability. entity_dist: None (the smoothed empirical distribution), a
     Dirichlet prior, or fixed probabilities by value."""
 
@@ -26,8 +28,19 @@ class Attribute:
     distort_dist: DirichletProcess = field(default_factory=DirichletProcess)
     exclude_entity_value: bool = True
     entity_dist: Dirichlet | dict[str, float] | None = None
+    blocking: Callable[[Column], Column] | None = None
 
     def __post_init__(self):
+        if self.distance is not None and not callable(self.distance):
+            raise ValueError("a distance is a function of two columns")
+        if self.blocking is not None and not callable(self.blocking):
+            raise ValueError("blocking is a function of a column")
+        if not isinstance(self.distort_dist, DirichletProcess):
+            raise ValueError("distort_dist must be a DirichletProcess")
+        if not isinstance(self.entity_dist, (Dirichlet, dict, type(None))):
+            raise ValueError("entity_dist must be a Dirichlet prior, probabilities by value, or None")
+        if isinstance(self.entity_dist, dict) and any(not 0 <= p <= 1 for p in self.entity_dist.values()):
+            raise ValueError("probabilities must be in [0, 1]")
         if not isinstance(self.distort_prob, Beta) and not 0 <= self.distort_prob <= 1:
             raise ValueError("a fixed distortion probability must be in [0, 1]")
         if isinstance(self.entity_dist, dict) and not math.isclose(sum(self.entity_dist.values()), 1, rel_tol=1e-8):
@@ -82,13 +95,19 @@ def build_index(dictionary: DataFrame, attributes: dict[str, Attribute]) -> tupl
     pairs = spark.createDataFrame([], "aid int, e_vid int, r_vid int, dist double")
     for aid, a in enumerate(attributes.values()):
         if not a.constant:
-            pairs = pairs.unionByName(similarity.close_pairs(dictionary.filter(F.col("aid") == aid), a.distance, a.exclude_entity_value))
+            pairs = pairs.unionByName(similarity.close_pairs(dictionary.filter(F.col("aid") == aid), a.distance, a.exclude_entity_value, a.blocking))
     close = similarity.distortion_probs(pairs)
     return dictionary.join(similarity.distance_ranges(dictionary, pairs), ["aid", "vid"]), close
 
 
 def build_model(df: DataFrame, attributes: dict[str, Attribute], prior: PitmanYor | GeneralizedCoupon, rec_id: str, file_id: str | None = None, seed: int = 1, validate: bool = True) -> Model:
     spark = df.sparkSession
+    if not attributes or not all(isinstance(a, Attribute) for a in attributes.values()):
+        raise ValueError("attributes must be a mapping from columns to Attribute")
+    if not isinstance(prior, (PitmanYor, GeneralizedCoupon)):
+        raise ValueError("the prior must be PitmanYor or GeneralizedCoupon")
+    if len({*attributes, rec_id, *([file_id] if file_id else [])}) < len(attributes) + 1 + bool(file_id):
+        raise ValueError("a column can have one part only: attribute, record id or file id")
     attributes = dict(sorted(attributes.items(), key=lambda kv: not kv[1].constant))
     long = encoding.unpivot(df, list(attributes), rec_id, file_id)
     given = [(k, v) for k, a in enumerate(attributes.values()) for v in a.given() or ()]
@@ -134,10 +153,14 @@ def _numbered(ids: DataFrame) -> DataFrame:
 
 def impute(values: DataFrame, domain: DataFrame, seed: int) -> DataFrame:
     """eid, aid, vid: missing values are drawn from the smoothed empirical distribution, by
-    the inverse of its cumulated sum at a uniform that the key decides."""
+    the inverse of its cumulated sum at a uniform that the key decides. Sums and uniforms meet in
+    1024 equal ranges of [0, 1), so a hole meets the few values of its own range only."""
     up_to = domain.select("aid", F.col("vid").alias("drawn"), F.sum("emp_prob").over(Window.partitionBy("aid").orderBy("vid")).alias("upto"), F.max("vid").over(Window.partitionBy("aid")).alias("last"))
     up_to = up_to.withColumn("low", F.coalesce(F.lag("upto").over(Window.partitionBy("aid").orderBy("drawn")), F.lit(0.0)))
-    holes = values.filter("vid is null").withColumn("u", uniform(F.lit(seed), F.lit("impute"), F.col("eid"), F.col("aid")))
+    bucket = lambda c: F.least(F.floor(c * 1024), F.lit(1023)).cast("int")
+    end = F.when(F.col("drawn") == F.col("last"), F.lit(1023)).otherwise(bucket(F.col("upto")))
+    up_to = up_to.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), F.greatest(end, bucket(F.col("low"))))))
+    holes = values.filter("vid is null").withColumn("u", uniform(F.lit(seed), F.lit("impute"), F.col("eid"), F.col("aid"))).withColumn("bucket", bucket(F.col("u")))
     hit = (F.col("u") >= F.col("low")) & ((F.col("u") < F.col("upto")) | (F.col("drawn") == F.col("last")))
-    filled = holes.join(up_to, "aid").filter(hit).select("eid", "aid", F.col("drawn").alias("vid"))
+    filled = holes.join(up_to, ["aid", "bucket"]).filter(hit).select("eid", "aid", F.col("drawn").alias("vid"))
     return values.filter("vid is not null").unionByName(filled)

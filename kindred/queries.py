@@ -480,6 +480,22 @@ def effective_sample_size(spark, sf):
     return C.effective_sample_size(s).select("name", "n", F.round("ess", 6).alias("ess"))
 
 
+@query(
+    "WITH s AS (SELECT event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, value AS x, (user_id % 97)::DOUBLE AS y FROM events), n AS (SELECT name, count(*) AS n, var_samp(x) * var_samp(y) - covar_samp(x, y) ** 2 AS det, floor(sqrt(count(*))) AS size FROM s GROUP BY name)"
+    ", m AS (SELECT s.name, floor(i / size) AS batch, avg(x) AS x, avg(y) AS y FROM s JOIN n ON n.name = s.name WHERE floor(i / size) < floor(n / size) GROUP BY ALL), b AS (SELECT name, var_samp(x) * var_samp(y) - covar_samp(x, y) ** 2 AS det FROM m GROUP BY name)"
+    " SELECT n.name, n.n, 2::BIGINT AS dims, round(n.n * sqrt(n.det / (n.size ** 2 * b.det)), 6) AS ess FROM n JOIN b ON n.name = b.name"
+)
+def multivariate_ess(spark, sf):
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "events")
+    i = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    both = F.explode(F.create_map(F.lit("x"), F.col("value"), F.lit("y"), (F.col("user_id") % 97).cast("double"))).alias("dim", "value")
+    s = e.select(F.col("event_type").alias("name"), i.alias("i"), "value", "user_id").select("name", "i", both)
+    return C.multivariate_effective_sample_size(s).select("name", "n", "dims", F.round("ess", 6).alias("ess"))
+
+
+
 # -- distributions and priors ---------------------------------------------------------------
 def _grid(spark, sf):
     return table(spark, sf, "part").select("p_size").distinct()

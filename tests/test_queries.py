@@ -8,7 +8,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["attr_domain", "close_values_included", "distance_ranges_included", "constant_expected_included", "link_weights_included", "new_entity_weights_included", "entity_weights_included", "distortion_draws_included", "kernel_link_weights", "kernel_new_entity_weights", "kernel_entity_weights", "kernel_link_weights_included", "kernel_new_entity_weights_included", "kernel_entity_weights_included", "pair_probs", "record_values", "impute_missing", "close_values", "distance_ranges", "scaled_threshold", "constant_expected", "candidates", "link_weights", "new_entity_weights", "entity_draws", "distortion_draws", "corrected_counts", "mp_clusters", "smp_clusters", "coreference_probs", "evaluate_pairs", "effective_sample_size", "densities", "seating_weights", "initial_state"]
+QUICK = ["attr_domain", "close_values_included", "distance_ranges_included", "constant_expected_included", "link_weights_included", "new_entity_weights_included", "entity_weights_included", "distortion_draws_included", "kernel_link_weights", "kernel_new_entity_weights", "kernel_entity_weights", "kernel_link_weights_included", "kernel_new_entity_weights_included", "kernel_entity_weights_included", "pair_probs", "record_values", "impute_missing", "close_values", "distance_ranges", "scaled_threshold", "constant_expected", "candidates", "link_weights", "new_entity_weights", "entity_draws", "distortion_draws", "corrected_counts", "mp_clusters", "smp_clusters", "coreference_probs", "evaluate_pairs", "effective_sample_size", "multivariate_ess", "densities", "seating_weights", "initial_state"]
 
 
 def plain(rows):
