@@ -10,8 +10,9 @@ start next to each other and share the anchor form a segment (168 bytes at most)
 
 1. Segments whose anchor occurs once hold nothing that repeats.
 2. Of equal segments the earliest stays open; the others are marked whole. Counts
-   and minima are taken before the shuffle, so a passage that a third of all
-   documents share costs no task more than others.
+   and minima are taken before the shuffle. Which copies are later is told by a join; segments with
+   more copies than ``COMMON``, or than a 2^18th of all, are joined by broadcast (so 2^18 at
+   most), and a passage that a third of all documents share costs no task more than others.
 3. Segments that share an anchor but differ are what the index is for. Those of an anchor
    meet in one task, which indexes about a MiB of them at a time: suffix order by prefix
    doubling, the Burrows-Wheeler transform as runs, and at each run's head a sample:
@@ -45,6 +46,7 @@ from kindred.llm.graph import Bloom, may_have
 from kindred.llm.jaccard import _B, _INVERSE, _powers, mix
 
 ANCHOR, CHUNK, POSITION = 32, 1 << 23, np.uint64((1 << 24) - 1)
+COMMON = 4096
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _B)
 
 
@@ -301,7 +303,12 @@ def marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     first = segments.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "k", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
     first = stored(first)
     release(spark)
-    copies = segments.join(first.filter("copies > 1").select("anchor", "content", "first"), ["anchor", "content"])
+    bound = max(COMMON, (first.agg(F.sum("copies")).first()[0] or 0) >> 18)
+    earliest, pair = first.select("anchor", "content", "first", "copies"), ["anchor", "content"]
+    # fewer than 2^18 pairs have more copies than the bound
+    common = F.broadcast(earliest.filter(F.col("copies") > bound).drop("copies"))
+    rare = earliest.filter((F.col("copies") > 1) & (F.col("copies") <= bound)).drop("copies")
+    copies = segments.join(common, pair).unionByName(segments.join(common, pair, "left_anti").join(rare, pair))
     copies = copies.filter(~F.struct("doc_id", "k", "start").eqNullSafe(F.col("first")))
     marked = copies.select("doc_id", "k", F.col("start").alias("from"), (F.col("start") + F.col("n") - 1 + length).alias("to"))
 

@@ -229,7 +229,7 @@ def test_bounds_never_exceed_optimum():
         assert packing.lower_bound(np.bincount(sizes, minlength=21), 20) <= len(packing.best_fit(sizes, 20)[2])
 
 
-def test_suffix_dedup(docs):
+def test_suffix_dedup(docs, monkeypatch):
     rows = sorted(((i, (t or "").encode()) for i, t in {(i, t) for i, t in texts(docs)}), key=lambda x: (x[0] is not None, x[0] or 0))
     seen, want = set(), {}
     for i, raw in rows:
@@ -242,7 +242,8 @@ def test_suffix_dedup(docs):
         kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
         runs = sum(1 for k in range(len(raw)) if gone[k] and (k == 0 or not gone[k - 1]))
         want[i] = (len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest())
-    for hot in (3000, 1):
+    for hot, common in ((3000, suffix.COMMON), (1, 2)):
+        monkeypatch.setattr(suffix, "COMMON", common)
         for r in suffix.remove_repeats_digest(docs, hot=hot).collect():
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
 
