@@ -8,8 +8,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import fingerprints, gif, graph, jaccard, language, packing, pieces, pii, sharding, suffix, toxicity
+from kindred.llm.common import held_out
 
 AWKWARD = "doc_id long, text string, lang string, score double, component_id string"
 
@@ -64,6 +66,33 @@ def test_language(docs, spark):
     assert language.identify(docs, profiles).count() == docs.count()
 
 
+def test_language_against_plain_ranks(docs, spark):
+    """Distances over dictionaries of ranks, n-gram by n-gram, give the same language and score."""
+    r = random.Random(6)
+    syllables = {"a": ["the", "ing", "wh"], "b": ["que", "oui", "eau"], "c": ["sch", "ein", "der"]}
+    train = spark.createDataFrame([(k, " ".join("".join(r.choice(s) for _ in range(2)) for _ in range(30)), lang) for k in range(60) for lang, s in syllables.items()], "doc_id long, text string, lang string")
+    profiles = language.train(train, top=40)
+    lists = {lang: {int(profiles.vocabulary[v]): int(row[v]) for v in np.flatnonzero(row >= 0)} for lang, row in zip(profiles.names, profiles.ranks, strict=True)}
+
+    def plain(text):
+        codes, counts = language.grams(text or "")
+        own = [c for _, c in sorted((-n, c) for c, n in zip(codes.tolist(), counts.tolist(), strict=True))][:40]
+        if not own:
+            return "und", 0.0
+        far = {lang: sum(min(abs(ranks[c] - k), 40) if c in ranks else 40 for k, c in enumerate(own)) for lang, ranks in lists.items()}
+        best = min(sorted(far), key=far.get)
+        return best, 1 - far[best] / (40 * len(own))
+
+    both = docs.select("doc_id", "text").unionByName(train.select("doc_id", "text"))
+    want = sorted((plain(x.text) for x in both.collect()), key=str)
+    got = sorted(((x.lang_pred, x.score) for x in language.identify(both, profiles).collect()), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+    # rows of the held-out fold teach nothing
+    fold = train.filter(~(held_out(F.col("doc_id"))))
+    again = language.train(fold, top=40)
+    assert again.names == profiles.names and (again.ranks == profiles.ranks).all() and (again.vocabulary == profiles.vocabulary).all()
+
+
 def test_prefix_hashes():
     r = random.Random(1)
     a = "".join(r.choice("ab") for _ in range(300))
@@ -202,6 +231,35 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, model).count() == docs.count()
 
 
+def test_toxicity_against_plain_sums(spark):
+    """Log-count ratios from plain sets of n-grams; scores from plain sums; the held-out fold teaches nothing."""
+    r = random.Random(7)
+    rows = [(k, " ".join(r.choice(["fine", "day", "tree", "stone"]) for _ in range(9)) + (" vile rat" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    model = toxicity.train(df.drop("toxic"), labels, least_texts=1, features_kept=1 << 20)
+    used = [(t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5]
+
+    def grams(text):
+        c = f" {text.lower()} "
+        return {c[k : k + n] for n in (3, 4, 5) for k in range(len(c) - n + 1)}
+
+    hashed = lambda g: int(toxicity.features(g[1:-1])[-1]) if g[0] == g[-1] == " " else None
+    pos, neg = sum(y for _, y in used), sum(1 - y for _, y in used)
+    place = {int(c): k for k, c in enumerate(model.chosen)}
+    assert set(place) == {int(h) for t, _ in used for h in toxicity.features(t)}
+    assert pos and neg and all(len(set(toxicity.features(t).tolist())) <= len(grams(t)) for t, _ in used)
+    assert hashed(" rat ") in place
+    for text in ("a vile rat", "fine day", "", None, "x"):
+        z = model.intercept + sum(model.weights[place[h]] for h in set(toxicity.features(text).tolist()) & set(place))
+        assert math.isclose(model.score(text), 1 / (1 + math.exp(-max(-40, min(40, z)))), rel_tol=1e-9)
+    turned = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other = toxicity.train(df.drop("toxic"), turned, least_texts=1, features_kept=1 << 20)
+    assert (other.chosen == model.chosen).all() and np.allclose(other.weights, model.weights)
+    held = [(model.score(t) >= 0.5) == bool(y) for k, t, y in rows if not zlib.crc32(str(k).encode()) % 5]
+    assert sum(held) >= 0.95 * len(held)
+
+
 def test_packing(docs):
     got = packing.pack(docs, rows_per_partition=20).toPandas()
     tokens = packing.load(packing.default_tokenizer())
@@ -248,6 +306,18 @@ def test_suffix_dedup(docs, monkeypatch):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
 
 
+def test_texts_beyond_a_chunk(spark):
+    """A text is read in chunks of 8 MiB; the second copy of a half starts before and ends after the cut."""
+    half = random.Random(2).randbytes(1_100_000).hex() * 2
+    half, n = half[:4_300_000], 2_200_000
+    df = spark.createDataFrame([(1, half + "|" + half), (2, "short")], "doc_id long, text string")
+    got = {x.doc_id: x for x in suffix.remove_repeats_digest(df).collect()}
+    # the first n bytes are all that is new, up to strings that hold the bar
+    kept = half[:n] + ("|" if n < len(half) else "")
+    assert got[1].n_bytes == 8_600_001 > suffix.CHUNK and got[1].n_removed == 8_600_001 - len(kept)
+    assert got[1].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest() and got[2].n_removed == 0
+
+
 def test_run_index():
     r = random.Random(4)
     base = "".join(r.choice("ab") for _ in range(120)).encode()
@@ -270,6 +340,12 @@ def test_sharding(docs):
     assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
 
 
+def test_shards_size_and_crc(docs):
+    got = sorted((x.doc_id is not None, x.doc_id or 0, x.size, x.text_crc32) for x in sharding.shard_documents(docs).collect())
+    want = sorted((i is not None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts(docs))
+    assert got == want
+
+
 def test_shard_weights(spark):
     df = spark.range(20000).selectExpr("id as doc_id", "'' as text")
     got = sharding.shard_documents(df, 2, weights=[1.0, 3.0]).groupBy("shard").count().collect()
@@ -292,6 +368,32 @@ def test_pii(docs):
     assert pii.detect(docs).count() == docs.count()
 
 
+def plain_base(text):
+    """The contract's patterns, each by its own leftmost non-overlapping search."""
+    out = []
+    for k, (kind, pattern) in enumerate((("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))):
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(x if j % 2 == 0 else sum(divmod(2 * x, 10)) for j, x in enumerate(reversed(d))) % 10 == 0
+            fits = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}
+            if fits[kind]:
+                out.append((m.start(), k, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def test_pii_base_against_plain_patterns(spark):
+    r = random.Random(12)
+    bits = ["a", "Z9", "@", ".", "-", " ", "+", "(", ")", "1", "25", "255", "4111 1111 1111 1111", "x@y.z", "1.2.3.4", "+49 30 1234567", "é", "%", "_", "\n", "0"]
+    strings = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    assert all(pii.base_spans(t) == plain_base(t) for t in strings)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(strings[:300])], "doc_id long, text string")
+    for x in pii.detect(df).collect():
+        want = plain_base(strings[x.doc_id])
+        assert x.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(k == kind for k, _, _ in want) for kind in ("email", "ip", "card", "phone")]
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(x.spans.split(","))
+
+
 def test_pii_written_out_at(spark):
     text = "write to john at example.com please"
     assert ("email", 9, 28) in pii.candidates(text)
@@ -415,6 +517,21 @@ def test_near_duplicates_by_row(spark):
         assert len(tags & {5, 6}) == len(tags & {8, 9}) == 1 and got.count() == 8
 
 
+def test_stages_on_empty_tables_and_awkward_rows(spark, nothing, docs):
+    """Of awkward rows, clashing columns included, only those go that a stage decides against."""
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(nothing, toxicity.train(nothing, labels)).count() == 0
+    profiles = language.train(docs.withColumn("lang", F.lit("a")))
+    stages = [lambda d: language.filter_language(d, profiles), lambda d: jaccard.near_duplicates(d, n=5, percent=80), suffix.remove_repeats, pii.redact_documents]
+    letters = sum(any(c.isalpha() for c in t or "") and t is not None for _, t in texts(docs))
+    for stage, left in zip(stages, (letters, None, docs.count(), docs.count()), strict=True):
+        empty, full = stage(nothing), stage(docs)
+        assert empty.count() == 0 and empty.columns == full.columns == docs.columns
+        rows = full.collect()
+        assert left is None or len(rows) == left
+        assert {x.component_id for x in rows} == {"clash"} and {x.score for x in rows} == {0.5}
+
+
 def test_pipeline_keeps_columns(spark, tmp_path):
     import corpus_pipeline
 
