@@ -292,3 +292,19 @@ def test_concentration_keeps_its_prior():
         c.update_concentrations(rng)
 
     assert abs(successive(chain, redraw, lambda c: c.b[0], 12000, rng).mean() - 2.0) < 0.15
+
+
+def test_a_single_record_draws_close_values_by_the_plain_weights():
+    rng = np.random.default_rng(4)
+    spec = toy([[0], [1], [2]], 4, Ewens(1.0), [0.4])
+    spec.close = [(np.array([1, 2, 0, 3]), np.array([0, 0, 1, 2]), np.array([0.5, 1.0, 1.0, 0.7]))]
+    spec.factor, spec.emp, spec.phi = [np.array([0.9, 0.8, 0.7, 0.6])], [np.array([0.4, 0.3, 0.2, 0.1])], [np.array([0.4, 0.3, 0.2, 0.1])]
+    for exclude in (True, False):
+        spec.exclude = [exclude]
+        chain = Chain(spec, 2, 0)
+        for e in range(3):
+            support, logw = chain.entity_logweights(e, 0)
+            w = np.exp(logw - logw.max())
+            drawn = Counter(chain.draw_value(e, 0, rng, {}) for _ in range(6000))
+            assert set(drawn) <= set(support.tolist())
+            assert max(abs(drawn[int(v)] / 6000 - x) for v, x in zip(support, w / w.sum(), strict=True)) < 0.03
