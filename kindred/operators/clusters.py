@@ -75,17 +75,33 @@ def clusters_to_pairs(groups: DataFrame) -> DataFrame:
     return membership_to_pairs(clusters_to_membership(groups).withColumnRenamed("cluster_id", "eid"))
 
 
+#: Samples that one row of a record's labels holds at most.
+BLOCK = 256
+
+
 def coreference_probs(samples: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, prob for the pairs asked for; raises if one names an unknown record."""
+    """a, b, prob for the pairs asked for; raises if one names an unknown record.
+
+    A record's labels travel as rows of up to BLOCK samples, so a pair meets a few rows and not
+    each sample. Joins are by merging: what looks small enough to be broadcast may
+    not fit the driver."""
     samples = reject_nulls(samples)
     known = samples.select("rid").distinct()
     asked = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    if not asked.join(known, "rid", "left_anti").isEmpty():
+    if not asked.join(known.hint("merge"), "rid", "left_anti").isEmpty():
         raise ValueError("pairs name unknown records")
-    samples = samples.join(asked, "rid", "left_semi")
-    a = samples.select("sample", F.col("rid").alias("a"), F.col("eid").alias("ea"))
-    b = samples.select("sample", F.col("rid").alias("b"), F.col("eid").alias("eb"))
-    return pairs.join(a, "a").join(b, ["b", "sample"]).groupBy("a", "b").agg(F.avg((F.col("ea") == F.col("eb")).cast("double")).alias("prob"))
+    block = F.floor(F.col("sample") / BLOCK).alias("block")
+    held = samples.groupBy("rid", block).agg(F.array_sort(F.collect_list(F.struct("sample", "eid"))).alias("held"))
+    held = held.select("rid", "block", F.col("held.sample").alias("at"), F.col("held.eid").alias("eid"))
+    a = held.select(F.col("rid").alias("a"), "block", F.col("at").alias("at_a"), F.col("eid").alias("ea"))
+    b = held.select(F.col("rid").alias("b"), "block", F.col("at").alias("at_b"), F.col("eid").alias("eb"))
+    met = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), ["b", "block"])
+    # mostly both records have the same samples; else each is looked for among the other's
+    same = F.transform(F.arrays_zip("ea", "eb"), lambda x: x["ea"] == x["eb"])
+    looked = F.flatten(F.transform(F.arrays_zip("at_a", "ea"), lambda x: F.transform(F.filter(F.arrays_zip("at_b", "eb"), lambda y: y["at_b"] == x["at_a"]), lambda y: y["eb"] == x["ea"])))
+    met = met.select("a", "b", F.when(F.col("at_a") == F.col("at_b"), same).otherwise(looked).alias("same"))
+    counted = met.groupBy("a", "b").agg(F.sum(F.size("same")).alias("n"), F.sum(F.size(F.filter("same", lambda x: x))).alias("together"))
+    return counted.filter("n > 0").select("a", "b", (F.col("together") / F.col("n")).alias("prob"))
 
 
 def pair_probs(samples: DataFrame) -> DataFrame:
