@@ -108,32 +108,39 @@ class RunIndex:
         self.ends = np.cumsum(size)
         n = int(self.ends[-1])
         self.n = n
-        self.rest = np.repeat(self.ends - 1, size) - np.arange(n)  # bytes to the string's end
+        self.rest = np.repeat((self.ends - 1).astype(np.int32), size)  # bytes to the string's end
+        self.rest -= np.arange(n, dtype=np.int32)
         self.text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-        symbol = np.zeros(n + self.STEP, np.int64)
-        symbol[:n] = self.text.astype(np.int64) + 1
+        symbol = np.zeros(n + self.STEP, np.int16)
+        symbol[:n] = self.text
+        symbol[:n] += 1
         symbol[self.ends - 1] = 0
         key = np.zeros(n, np.int64)
         for t in range(self.STEP):
-            key = key << 9 | np.where(self.rest >= t, symbol[t : t + n], 0)
+            key <<= 9
+            key |= np.where(self.rest >= t, symbol[t : t + n], np.int16(0))
         self.levels: list[tuple[int, np.ndarray]] = []
         depth, longest = self.STEP, int(size.max())
         while True:
             order = np.argsort(key)
-            ranked = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]))
-            self.levels.append((depth, rank.astype(np.int32)))
+            key = key[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1]), dtype=np.int32)
+            del order
+            self.levels.append((depth, rank))
+            key[:] = rank
             if depth >= longest or rank.max() == n:
                 break
-            further = np.zeros(n, np.int64)
-            has = np.flatnonzero(self.rest >= depth)
-            further[has] = rank[has + depth]
-            key = rank * (n + 1) + further
+            key *= n + 1
+            has = self.rest >= depth
+            key[has] += rank[depth:][has[: n - depth]]
             depth *= 2
         # equal suffixes end at different strings' ends, which order them
-        self.suffixes = np.argsort(rank * n + np.arange(n))
-        last = np.where(self.suffixes > 0, symbol[self.suffixes - 1], 0)  # the transform
+        key *= n
+        key += np.arange(n)
+        self.suffixes = np.argsort(key)
+        del key
+        last = np.where(self.suffixes > 0, symbol[self.suffixes - 1], np.int16(0))  # the transform
         head = np.ones(n, bool)
         head[1:] = (last[1:] != last[:-1]) | (last[1:] == 0)
         self.runs = int(head.sum())
@@ -141,6 +148,7 @@ class RunIndex:
         self.heads, self.before = self.suffixes[at], self.suffixes[np.maximum(at - 1, 0)]
         self.matched = self._extension(self.heads, self.before)
         self.matched[0] = 0
+        del self.levels  # of all that is held the most, and of no further use
 
     def _extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common extensions, off the ranks of the doubled prefixes."""
@@ -169,8 +177,10 @@ class RunIndex:
         order: streamed from the samples, one less with each step inside a run."""
         order = np.argsort(self.heads)
         place, value = self.heads[order], self.matched[order]
-        since = np.searchsorted(place, np.arange(self.n), "right") - 1
-        return np.maximum(value[since] - (np.arange(self.n) - place[since]), 0)
+        inside = np.diff(np.append(place, self.n))  # the first position heads a run
+        shared = np.repeat(place + value, inside)
+        shared -= np.arange(self.n)
+        return np.maximum(shared, 0, out=shared)
 
     def repeats(self, length: int) -> np.ndarray:
         """Positions whose next ``length`` bytes also start at an earlier position."""
@@ -339,15 +349,16 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join([*out, raw[done:]]), runs
 
 
-def _with_spans(df: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs (with k) and their spans, null if none. Only documents that may have spans
-    are shuffled."""
+def _with_spans(df: DataFrame, docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (with k) that may have spans with these, null if none, and all others as they are.
+    Only the former are shuffled, always: so the filter's Python workers are done when those of
+    what follows begin, and a task never holds two."""
     found = stored(found)
     release(df.sparkSession)
     flagged = docs.withColumn("_may", may_have(Bloom.of(found, "k"), df.sparkSession, F.col("k")))
-    f = found.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "spans")
-    joined = flagged.filter("_may").join(f, (F.col("k") == F.col("_k")) & F.col("_key").eqNullSafe(F.col("_id")), "left").drop("_id", "_k")
-    return joined.unionByName(flagged.filter("not _may").withColumn("spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))).drop("_may")
+    f = found.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "spans").hint("merge")
+    joined = flagged.filter("_may").join(f, (F.col("k") == F.col("_k")) & F.col("_key").eqNullSafe(F.col("_id")), "left").drop("_id", "_k", "_may")
+    return joined, flagged.filter("not _may").drop("_may")
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -357,7 +368,7 @@ def remove_repeats_digest(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     found = marks(df, id_col, text_col, length, hot)
     docs = _keyed(df, id_col, text_col).withColumn("_key", F.col("doc_id"))
-    rows = _with_spans(df, docs, found).select("doc_id", "text", "spans")
+    rows, others = _with_spans(df, docs, found)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,7 +378,9 @@ def remove_repeats_digest(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 out.append((key, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
             yield _batch(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return rows.mapInArrow(digest, SCHEMA)
+    none = F.lit(0).cast("long")
+    whole = others.select("doc_id", F.length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "text", "spans").mapInArrow(digest, SCHEMA).unionByName(whole)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = 3000, length_col: str | None = "n_chars") -> DataFrame:
@@ -377,7 +390,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = df.columns
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     docs = df.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).cast("long").alias("_key"), F.xxhash64(F.col(id_col).cast("long"), raw).alias("k"))
-    rows = _with_spans(df, docs, found).select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("spans").alias("_spans"))
+    rows, others = _with_spans(df, docs, found)
+    columns = {c: F.col(f"row.`{c}`").alias(c) for c in names}
+    rows = rows.select(*columns.values(), F.col("spans").alias("_spans"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,4 +405,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(rewrite, df.schema)
+    if length_col in names:
+        columns[length_col] = F.length(f"row.`{text_col}`").cast(df.schema[length_col].dataType).alias(length_col)
+    return rows.mapInArrow(rewrite, df.schema).unionByName(others.select(*columns.values()))

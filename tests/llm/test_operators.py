@@ -333,6 +333,44 @@ def test_run_index():
     assert index.repeats(12).tolist() == want and index.runs < index.n
 
 
+def test_run_index_memory():
+    """A worker holds an index of a MiB at a time, so its arrays must stay few."""
+    import tracemalloc
+
+    r = random.Random(6)
+    strings = [r.randbytes(20).hex().encode() * 4 for _ in range(2600)]
+    tracemalloc.start()
+    index = suffix.RunIndex(strings)
+    repeats = index.repeats(100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # of each string, the starts beyond its period of 40
+    assert len(repeats) == 2600 * 21 and most < 80 * index.n
+
+
+def python_operators(node, above: int = 0) -> int:
+    """The most Python operators of a plan that a task runs at once."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return python_operators(node.initialPlan(), above)
+    above = 0 if "Exchange" in name else above + ("Arrow" in name or "Pandas" in name)
+    below = node.children()
+    return max([above, *(python_operators(below.apply(k), above) for k in range(below.size()))])
+
+
+def test_repeats_hold_one_python_worker_a_task(spark):
+    """Texts that the filter passes by, and those that it doesn't, keep their columns and get their length."""
+    words = random.Random(8)
+    passage = " ".join(f"é{words.randrange(10**6)}\U0001f600" for _ in range(20))
+    rows = [(1, passage, 7, "a"), (2, f"b {passage} c", 7, "b"), (3, "é\U0001f600 alone", 7, None), (4, None, 7, "d"), (5, "", 7, "e"), (None, "none", 7, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, k string")
+    got = suffix.remove_repeats(df)
+    assert got.dtypes == df.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, "b  c" if i == 2 else t, None if t is None else 4 if i == 2 else len(t), k) for i, t, _, k in rows], key=str)
+    for made in (got, suffix.remove_repeats_digest(df)):
+        assert python_operators(made._jdf.queryExecution().executedPlan()) == 1
+
+
 def test_sharding(docs):
     got = sharding.shard_documents(docs, buckets=4).toPandas()
     assert len(got) == docs.count() and (got["law"] == "key").all()
