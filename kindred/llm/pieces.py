@@ -17,16 +17,16 @@ gives back exactly the text. Pieces don't cross from one word into the next, a
 word being a run of spaces with the characters up to the next space; words of any
 length go in whole. Null counts as empty, which has no pieces.
 
-All words of a slice of text go through the lattice together, in numpy, state by
-state; memory is bounded by the slice (about a million characters, or one longer text).
+All words of a slice of text go through the lattice together, in numpy, by depth: equal
+words once, and words that begin alike share the states of what they have in common, as
+what is summed into a state depends on what precedes it alone. Hashes propose what is
+equal, characters decide. Memory is bounded by the slice (about a million characters, or one longer text).
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from kindred.llm.common import bounded_batches, id_and_text
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}| *[^ {MARK}]+| +")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
@@ -50,6 +49,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _classes(h: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, ...]:
+    """Of equal hashes: the number of each one's class and one place of each class; on demand
+    the places in an order in which those of a class lie together."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return (which, order[new], order) if ordered else (which, order[new])
+
+
+def _count_up(sizes: np.ndarray) -> np.ndarray:
+    """1 to the size, for each one."""
+    ends = np.cumsum(sizes)
+    return np.arange(1, int(ends[-1]) + 1) - np.repeat(ends - sizes, sizes)
+
+
+def _utf8(c: np.ndarray) -> Iterator[np.ndarray]:
+    """The first to fourth byte of each character; beyond its last, any."""
+    n = Pieces.utf8_size(c).astype(np.int64)
+    for k in range(int(n.max())):
+        byte = c >> (6 * (n - 1 - k)).clip(0) & 0x3F | 0x80
+        if k == 0:
+            byte = np.where(n == 1, c, c >> (6 * (n - 1)) | np.array([0, 0, 0xC0, 0xE0, 0xF0])[n])
+        yield byte
+
+
 def key_hash(key: int | None, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little")
 
@@ -71,28 +97,27 @@ class Pieces:
         self.logp = alpha * score
         self.fallback = float(self.logp[plain].min() - 10.0)  # for each byte
         self.bytes = [bytes([self._byte_of(i)]) if sp.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        self.byte_ids = np.array([self.byte[b] for b in range(256)], np.int32)
+        self.chars = np.array([*map(len, self.text), 1])  # the last is -1, bytes, of one character
         self.longest = max(len(self.text[i]) for i in plain)
+        self.powers = np.cumprod(np.array([1, *[_P] * (self.longest - 1)], np.uint64))
         by_length: dict[int, list[int]] = {}
         for i in plain:
             by_length.setdefault(len(self.text[i]), []).append(i)
-        self.tables = {}
+        self.tables, self.seen = {}, {k: np.zeros(1 << 20, np.uint8) for k in range(1, self.longest + 1)}
         for length, ids in sorted(by_length.items()):
             points = np.array([[ord(c) for c in self.text[i]] for i in ids], np.uint64)
             h = np.zeros(len(ids), np.uint64)
             for k in range(length):
                 h = h * _P + points[:, k]
             order = np.argsort(h)
-            there = np.zeros(1 << 20, bool)
-            there[_mix(h) >> np.uint64(44)] = True
-            self.tables[length] = (h[order], np.array(ids)[order], there)
-        # by length: which beginnings of that length some longer piece has, by hash
-        self.begins = {k: np.zeros(1 << 20, bool) for k in range(1, self.longest)}
-        for length, ids in by_length.items():
-            points = np.array([[ord(c) for c in self.text[i]] for i in ids], np.uint64)
+            self.tables[length] = (h[order], np.array(ids, np.int32)[order])
+            # seen: by hash, 1 where a piece of that length may be, 2 where the end of a longer one may be
+            self.seen[length][_mix(h) >> np.uint64(44)] |= 1
             h = np.zeros(len(ids), np.uint64)
             for k in range(1, length):
-                h = h * _P + points[:, k - 1]
-                self.begins[k][_mix(h) >> np.uint64(44)] = True
+                h = h + points[:, length - k] * self.powers[k - 1]
+                self.seen[k][_mix(h) >> np.uint64(44)] |= 2
 
     def _byte_of(self, i: int) -> int:
         return int(self.text[i][3:5], 16)
@@ -107,121 +132,139 @@ class Pieces:
         return size
 
     # -- the lattice ------------------------------------------------------------
-    def lattice(self, points: np.ndarray, start_of: np.ndarray, end_of: np.ndarray):
-        """For words laid end to end; given by position the first character of its word and
-        the word's end. Returns, by state, the cumulated odds of its edges and, by state and
-        edge, start and piece (-1: bytes); and the state of each position where a piece may end."""
-        n, width = len(points), self.longest
+    def lattice(self, points: np.ndarray, depth: np.ndarray, h: np.ndarray):
+        """For words laid end to end; given, by position, its place in its word, from 1, and a hash
+        of the word up to there. Words that begin alike share states. Returns, by state and edge,
+        the cumulated odds, the state it starts from (the number of states: the word's start)
+        and piece (-1: bytes); and the state of each position where a piece may end."""
+        which, first = _classes(h)
+        own = first[which]
+        start = depth == 1
+        # equal hashes are equal beginnings if their last characters are, and what precedes these
+        if not (np.array_equal(points[own], points) and np.array_equal(depth[own], depth) and (start | (which[own - 1] == np.roll(which, 1))).all()):
+            which = first = np.arange(len(points))
+        # states are numbered by depth, so that those of a depth lie together
+        order = np.argsort(depth[first], kind="stable")
+        at = first[order]
+        n = len(at)
+        number = np.empty(n, np.int32)
+        number[order] = np.arange(n, dtype=np.int32)
+        state = number[which]
+        deep = depth[at]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(deep)[1:])])
         found = []
         single = np.zeros(n, bool)
-        alive, h = np.arange(n), np.zeros(n, np.uint64)  # positions from which a piece may yet be spelled
-        room = end_of - alive
-        for length in range(1, width + 1):
-            fits = room >= length
-            alive, room, h = alive[fits], room[fits], h[fits]
-            h = h * _P + points[alive + (length - 1)]
-            slot = _mix(h) >> np.uint64(44)
+        alive, place, h = np.arange(n, dtype=np.int32), at, np.zeros(n, np.uint64)  # states that a piece, or more of one, may yet end in
+        for length in range(1, self.longest + 1):
+            if length > 1:
+                fits = np.searchsorted(alive, bounds[min(length, len(bounds)) - 1])
+                alive, place, h = alive[fits:], place[fits:], h[fits:]
+            if not len(alive):
+                break
+            h = h + points[place - (length - 1)] * self.powers[length - 1]
+            seen = self.seen[length][(_mix(h) >> np.uint64(44)).astype(np.int64)]
             if length in self.tables:
-                known, ids, there = self.tables[length]
-                maybe = np.flatnonzero(there[slot])
+                known, ids = self.tables[length]
+                maybe = np.flatnonzero(seen & 1)
                 k = np.searchsorted(known, h[maybe]).clip(max=len(known) - 1)
                 hit = known[k] == h[maybe]
-                at = alive[maybe[hit]]
+                maybe, ids = maybe[hit], ids[k[hit]]
+                row = alive[maybe]
                 if length == 1:
-                    single[at] = True
-                found.insert(0, (length, at, ids[k[hit]]))  # long pieces, likely ones, first
-            if length < width:
-                goes = self.begins[length][slot]
-                alive, room, h = alive[goes], room[goes], h[goes]
+                    single[row] = True
+                found.insert(0, (row, np.where(deep[row] == length, n, state[place[maybe] - length]), ids, self.logp[ids]))  # long pieces, likely ones, first
+            goes = np.flatnonzero(seen & 2)
+            alive, place, h = alive[goes], place[goes], h[goes]
         none = np.flatnonzero(~single)
-        # states are numbered by depth in their words, so that those of a depth lie together
-        depth = (np.arange(n) + 1 - start_of).astype(np.int32)
-        order = np.argsort(depth, kind="stable")
-        number = np.empty(n + 1, np.int32)
-        number[order + 1] = np.arange(n, dtype=np.int32)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(depth)[1:])])
+        cost = self.fallback * self.utf8_size(points[at[none]])
+        edges = [*found, (none, np.where(deep[none] == 1, n, state[at[none] - 1]), -1, cost)]
         fill = np.zeros(n, np.int8)
-        cost = self.fallback * self.utf8_size(points[none])
-        edges = [*((at, number[at + length], ids, self.logp[ids]) for length, at, ids in found), (none, number[none + 1], -1, cost)]
-        for _, row, _, _ in edges:
+        for row, *_ in edges:  # a state has at most one edge of each length
             fill[row] += 1
         width = int(fill.max(initial=1))
         fill[:] = 0
-        starts = np.zeros((width, n), np.int32)
+        before = np.full((width, n), n, np.int32)
         pieces = np.full((width, n), -1, np.int32)
         odds = np.full((width, n), -np.inf)
-        before = np.full((width, n), n, np.int32)  # n: the word's start, of log weight 0
-        for start, row, piece, weight in edges:  # a state has at most one edge of each length
+        for row, start, piece, weight in edges:
             slot = fill[row]
-            starts[slot, row], pieces[slot, row], odds[slot, row] = start, piece, weight
-            before[slot, row] = np.where(start == start_of[start], n, number[start])
+            before[slot, row], pieces[slot, row], odds[slot, row] = start, piece, weight
             fill[row] = slot + 1
-        total = np.zeros(n + 1)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        total = np.zeros(n + 1)  # the word's start has log weight 0
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             into = odds[:, a:b] + total[before[:, a:b]]
             top = into.max(axis=0)
             run = np.cumsum(np.exp(into - top), axis=0)
             total[a:b] = top + np.log(run[-1])
             odds[:, a:b] = run / run[-1]
-        return odds, starts, pieces, number
+        return odds.T, before.T, pieces.T, state
 
     def sample(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; ``keys`` are their hashes."""
-        split = [_WORDS.findall(t) for t in texts]
-        per_text = [len(x) for x in split]
-        flat = list(itertools.chain.from_iterable(split))
-        words = list(dict.fromkeys(flat))
-        known = dict(zip(words, range(len(words)), strict=True))
-        which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        if not words:
-            return [np.empty(0, np.int64) for _ in texts]
-        # a lone mark of the text is given a point outside Unicode: it has no piece
-        joined = "".join("\0" if w == MARK else w for w in words).replace(" ", MARK)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        length = np.array([len(w) for w in words])
+        chars = np.array([len(t) for t in texts], np.int64)
+        text_end = np.cumsum(chars)
+        n = int(chars.sum())
+        if not n:
+            return [np.empty(0, np.int32) for _ in texts]
+        raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # a word starts with a text, at and after a mark of the text, and where spaces start
+        space, mark = raw == ord(" "), raw == ord(MARK)
+        begins = space | mark
+        begins[1:] &= ~(space[1:] & space[:-1])
+        begins[1:] |= mark[:-1]
+        begins[(text_end - chars)[chars > 0]] = True
+        starts = np.flatnonzero(begins)
+        size = np.diff(starts, append=n)
+        # a mark of the text is given a point outside Unicode: it has no piece
+        points = raw.astype(np.uint64)
+        points[space], points[mark] = ord(MARK), 0x110000
+        depth = _count_up(size)
+        powers = np.cumprod(np.full(int(size.max()), _P))
+        h = np.cumsum(points * powers[depth - 1])
+        h -= np.repeat(h[starts] - points[starts] * _P, size)  # of each word up to there
+        which, first, order = _classes(h[starts + size - 1], True)
+        shift = starts[first][which] - starts
+        if not (np.array_equal(size[first][which], size) and np.array_equal(points[np.arange(n) + np.repeat(shift, size)], points)):
+            which = first = order = np.arange(len(starts))
+        length = size[first]
         ends = np.cumsum(length)
-        lone = known.get(MARK)
-        if lone is not None:
-            points[ends[lone] - 1] = 0x110000
-        odds, starts, pieces, number = self.lattice(points, np.repeat(ends - length, length), np.repeat(ends, length))
-        size = length[which]
-        text_of = np.repeat(np.arange(len(texts)), per_text)
-        chars = np.array([len(t) for t in texts])
-        origin = np.cumsum(chars) - chars
-        word_at = np.cumsum(size) - size  # where each word stands in all the texts
-        out = np.full(int(chars.sum()), -2, np.int32)
-        shift = word_at - (ends[which] - size)  # from the lattice's places to the texts'
-        salt = np.array(keys, np.uint64)[text_of]
-        local = origin[text_of]
-        state, floor = ends[which].copy(), ends[which] - size
-        live = np.argsort(which, kind="stable")  # a word's occurrences read the same states
-        while len(live):
-            now = state[live]
-            place = now + shift[live]
-            u = (_mix(salt[live] + (place - local[live]).astype(np.uint64) * _P) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            at = number[now]
-            edge = np.zeros(len(at), np.int32)
-            past = np.flatnonzero(u >= odds[0][at])
-            for row in odds[1:]:
-                if not len(past):
-                    break
+        laid = np.arange(int(ends[-1])) + np.repeat(starts[first] - (ends - length), length)
+        odds, before, pieces, state = self.lattice(points[laid], depth[laid], h[laid])
+        none, width = odds.shape
+        odds, before, pieces = odds.ravel(), before.ravel(), pieces.ravel()
+        # backward, all words at once; a word's occurrences, which read the same states, lie together
+        out = np.full(n, -2, np.int32)
+        now = state[ends - 1][which[order]].astype(np.int64)
+        place = (starts + size)[order]
+        text_of = np.searchsorted(text_end, starts[order], side="right")
+        salt = np.array(keys, np.uint64)[text_of] - (text_end - chars)[text_of].astype(np.uint64) * _P
+        while len(now):
+            u = (_mix(salt + place.astype(np.uint64) * _P) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge = now * width
+            past = np.flatnonzero(u >= odds[edge])
+            while len(past):
                 edge[past] += 1
-                past = past[u[past] >= row[at[past]]]
-            out[place - 1] = pieces[edge, at]
-            now = starts[edge, at]
-            state[live] = now
-            live = live[now > floor[live]]
-        result = []
-        for k, text in enumerate(texts):
-            own = out[origin[k] : origin[k] + chars[k]]
-            if (own == -1).any():
-                ids = []
-                for c, i in zip(text, own.tolist(), strict=True):
-                    ids += [i] if i >= 0 else [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if i == -1 else []
-                result.append(np.array(ids, np.int64))
-            else:
-                result.append(own[own >= 0])
-        return result
+                past = past[u[past] >= odds[edge[past]]]
+            piece = pieces[edge]
+            out[place - 1] = piece
+            now = before[edge].astype(np.int64)
+            goes = np.flatnonzero(now < none)
+            now, place, salt = now[goes], place[goes] - self.chars[piece[goes]], salt[goes]
+        ends_at = np.flatnonzero(out != -2)
+        ids = out[ends_at]
+        last = np.searchsorted(ends_at, text_end)
+        plain = np.flatnonzero(ids == -1)
+        if len(plain):
+            c = raw[ends_at[plain]]
+            n_bytes = np.ones(len(ids), np.int64)
+            n_bytes[plain] = self.utf8_size(c)
+            up_to = np.concatenate([[0], np.cumsum(n_bytes)])
+            ids = np.repeat(ids, n_bytes)
+            for k, byte in enumerate(_utf8(c)):
+                there = n_bytes[plain] > k
+                ids[up_to[plain[there]] + k] = self.byte_ids[byte[there]]
+            last = up_to[last]
+        return np.split(ids, last[:-1])
 
     def decode(self, ids) -> str:
         table = self.bytes

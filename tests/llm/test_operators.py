@@ -221,6 +221,69 @@ def test_pieces_are_drawn_by_weight():
     assert all(abs(seen.get(p, 0) / n - w / total) < 0.03 for p, w in paths.items())
 
 
+def plain_pieces(m, text, key):
+    """Word by word and state by state; the draws are the operator's."""
+    ids, longest, at, out = {m.text[i]: int(i) for length in m.tables for i in m.tables[length][1]}, m.longest, 0, []
+    for word in re.findall("▁| *[^ ▁]+| +", text):
+        spelled = "\0" if word == "▁" else word.replace(" ", "▁")
+        total, edges = [0.0], []
+        for end in range(1, len(word) + 1):
+            into = [(end - k, ids[spelled[end - k : end]]) for k in range(min(end, longest), 0, -1) if spelled[end - k : end] in ids]
+            weights = [total[a] + m.logp[i] for a, i in into]
+            if spelled[end - 1] not in ids:
+                into.append((end - 1, -1))
+                weights.append(total[end - 1] + m.fallback * len(word[end - 1].replace(" ", "▁").encode()))
+            top = max(weights)
+            run = np.cumsum([math.exp(w - top) for w in weights])
+            total.append(top + math.log(run[-1]))
+            edges.append((into, run / run[-1]))
+        end, own = len(word), []
+        while end:
+            x = (key + (at + end) * 0x9E3779B97F4A7C15) % 2**64
+            u = float(int(pieces._mix(np.array([x], np.uint64))[0]) >> 11) * 2.0**-53
+            into, odds = edges[end - 1]
+            start, i = into[int((u >= odds).sum())]
+            own = ([i] if i >= 0 else [m.byte[b] for b in word[start].encode()]) + own
+            end = start
+        at, out = at + len(word), out + own
+    return out
+
+
+PIECE_TEXTS = ["the then there thenceforth", "", "▁▁ ▁  x ▁y  ", "  two  spaces ", "ünïcödé 日本\n\U0001f600 \0é\x7f", "x" * 70, "the\nthen\nthe other then", "a\tb " * 30]
+
+
+def test_pieces_against_a_plain_lattice():
+    m = pieces.load(pieces.default_model(), 1.0)
+    keys = [pieces.key_hash(k, 5) for k in range(len(PIECE_TEXTS))]
+    assert [x.tolist() for x in m.sample(PIECE_TEXTS, keys)] == [plain_pieces(m, t, k) for t, k in zip(PIECE_TEXTS, keys, strict=True)]
+
+
+def test_pieces_share_what_words_begin_with(monkeypatch):
+    """A state for each distinct beginning of a word, not for each character of each word."""
+    m = pieces.load(pieces.default_model(), 1.0)
+    r = random.Random(8)
+    text = " ".join("".join(r.choice(["the", "on", "er"]) for _ in range(r.randint(1, 5))) for _ in range(2000))
+    states, lattice = [], m.lattice
+    monkeypatch.setattr(m, "lattice", lambda *a: states.append(lattice(*a)) or states[-1])
+    m.sample([text], [1])
+    words = set(re.findall(" *[^ ]+", text))
+    assert max(states[0][0].shape) == len({w[:k] for w in words for k in range(1, len(w) + 1)}) < sum(map(len, words)) / 2
+
+
+def test_pieces_do_not_rest_on_hashes(monkeypatch):
+    """Words and beginnings that only a hash calls equal stay apart."""
+    m = pieces.load(pieces.default_model(), 1.0)
+    keys = [pieces.key_hash(k, 5) for k in range(len(PIECE_TEXTS))]
+    right = [x.tolist() for x in m.sample(PIECE_TEXTS, keys)]
+    classes = pieces._classes
+    for f in (lambda h, *a: classes(h * 0, *a), lambda h, *a: classes(h % 11, *a)):
+        monkeypatch.setattr(pieces, "_classes", f)
+        assert [x.tolist() for x in m.sample(PIECE_TEXTS, keys)] == right
+    same_size = ["abcd efg hij", "bcda hij efg"]
+    monkeypatch.setattr(pieces, "_classes", lambda h, *a: classes(h * 0, *a))
+    assert [m.decode(x.tolist()) for x in m.sample(same_size, [1, 2])] == same_size
+
+
 def test_toxicity(spark, docs):
     r = random.Random(5)
     rows = [(k, " ".join(r.choice(["fine", "day", "tree", "river"]) for _ in range(20)) + (" you awful creature" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(300)]
