@@ -109,3 +109,34 @@ def test_chains_have_tasks_of_their_own(spark):
         parts = spark.read.parquet(block).selectExpr("chain", "input_file_name() as f").distinct().collect()
         assert len(parts) == 3 == len({p.f for p in parts})
     assert fit.table("links").count() == 3 * 2 * 12
+
+
+def test_a_stored_state_goes_on_as_it_was():
+    import pickle
+
+    chain = Chain(spec(50), 3, 0)
+    chain.sweep()
+    again = pickle.loads(pickle.dumps(chain)).resume(chain.s)
+    for c in (chain, again):
+        c.sweep()
+    assert (chain.link == again.link).all() and (chain.z == again.z).all() and (chain.theta == again.theta).all()
+    large = Chain(spec(20000), 3, 0)
+    large.sweep()
+    assert len(pickle.dumps(large)) < 20 * 20000  # as dictionaries it was over 400 bytes a record
+
+
+def test_a_records_values_come_to_the_driver_in_one_row(spark, monkeypatch):
+    from kindred.plans import chains
+    from kindred.plans.model import CategoricalAttribute, build_model
+
+    df = spark.createDataFrame([(k, None if k % 4 == 1 else str(k % 3), str(k % 2)) for k in range(40)], "id int, a string, b string")
+    model = build_model(df, {c: CategoricalAttribute() for c in "ab"}, PitmanYor(1.0, 0.2), "id")
+    sizes, plain = [], chains.columns
+    monkeypatch.setattr(chains, "columns", lambda frame: (out := plain(frame), sizes.append(len(next(iter(out.values())))))[0])
+    found = chains.specification(model)
+    assert max(sizes) == 40
+    ids = {r.rid: int(r.rec_id) for r in model.records.collect()}
+    for r, k in ids.items():
+        assert found.x[r].tolist() == [-1 if k % 4 == 1 else k % 3, k % 2]
+    start = {(r.eid, r.aid): r.vid for r in model.entities.collect()}
+    assert all(found.start[e, a] == v for (e, a), v in start.items()) and (found.start >= 0).all() and len(start) == 80
